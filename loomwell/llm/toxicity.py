@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
 LEXICON, SUPPORT, SHARE = 300, 4, 0.01
 CANDIDATES = 20_000
 STEM_FROM, STEM_TO = 4, 9
 FUZZY_FROM = 5
 WINDOW = 8
-MEMO = 300_000
+MEMO = 500_000
 FOLDS, HELD_OUT = 5, 0
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -71,25 +71,23 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.heads = {t[: len(t) // 2] for t in terms if len(t) >= FUZZY_FROM}
-        self.tails = {t[len(t) // 2 :] for t in terms if len(t) >= FUZZY_FROM}
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
-        self.stems = set(terms)
-        self.stem_sizes = sorted({len(t) for t in terms})
+        fuzzy = [t for t in terms if len(t) >= FUZZY_FROM]
+        self.heads = tuple(sorted({t[: len(t) // 2] for t in fuzzy}))
+        self.tails = tuple(sorted({t[len(t) // 2 :] for t in fuzzy}))
+        self.sizes = {len(t) + d for t in fuzzy for d in (-1, 0, 1)}
+        self.starts = tuple(terms)
 
     def match(self, word: str) -> tuple[int, bool] | None:
         """(term, misspelled) of the best match."""
-        best = None
-        for n in self.stem_sizes:
-            if word[:n] in self.stems:
-                best = word[:n]
-        if best is not None:
-            node = self.root
-            for c in best:
-                node = node[c]
-            return node[""], False
-        if any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes):
+        if word.startswith(self.starts):
+            node, best = self.root, None
+            for c in word:
+                node = node.get(c)
+                if node is None:
+                    break
+                best = node.get("", best)
+            return best, False
+        if len(word) in self.sizes and (word.startswith(self.heads) or word.endswith(self.tails)):
             found = self.near(word)
             if found is not None:
                 return found, True
@@ -136,23 +134,24 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.trie = Trie(model.terms)
-        self.memo: dict = {}
+        self.seen: set[str] = set()  # words tried; those that matched are in known
+        self.known: dict[str, tuple[int, bool]] = {}
 
     def hits(self, text: str) -> list[tuple[int, bool, bool]]:
         """(term, misspelled, quoted) of each hit."""
         low = text.lower()
         words = WORD.findall(low)
-        memo, found = self.memo, {}
-        for w in set(words):
-            m = memo.get(w, 0)
-            if m == 0:
-                memo[w] = m = self.trie.match(w)
+        distinct = set(words)
+        for w in distinct - self.seen:
+            m = self.trie.match(w)
             if m is not None:
-                found[w] = m
-        if len(memo) > MEMO:
-            memo.clear()
+                self.known[w] = m
+        if len(self.seen) > MEMO:
+            self.seen, self.known = set(), {w: self.known[w] for w in distinct if w in self.known}
+        self.seen |= distinct
         self.words = len(words)
-        if not found:
+        found = self.known
+        if distinct.isdisjoint(found):
             return []
         spans = [m for m in WORD.finditer(low)]
         out = []
@@ -192,14 +191,21 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic): distinct texts of the bounded sample of training rows."""
+    """(text, toxic): distinct texts of the bounded sample of training rows, one of near copies."""
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = marked.filter(~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id")
     some = marked.filter("toxic = 1").orderBy(draw).limit(TRAIN_TOXIC).union(marked.filter("toxic = 0").orderBy(draw).limit(TRAIN_CLEAN))
     # the sample holds TRAIN_TOXIC + TRAIN_CLEAN rows at most: broadcast
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
-    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    # one text of near copies: else words that only copies share would look like terms
+    for seed in range(2):
+        cut_up = rows.withColumn("w", F.split("text", r"\s+"))
+        at = F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))
+        least = F.array_min(F.transform(at, lambda i: F.xxhash64(F.lit(seed), *[F.get("w", i + j) for j in range(3)])))
+        rows = cut_up.groupBy(least.alias("h"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    return rows
 
 
 def _terms_of(text: str) -> set[str]:
