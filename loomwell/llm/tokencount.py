@@ -60,16 +60,27 @@ def whole_tokens(path: str) -> frozenset:
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut at its safe places."""
+    """The text cut at its safe places.
+
+    Besides single spaces these are: a full stop or comma between a Latin letter and a single
+    space or line break, and a single line break between non-spaces; both are pre-tokens.
+    """
     # str.split and re-attaching the space is the fast form of SAFE for single-spaced text
     if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
         return SAFE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else []
+    out: list[str] = []
+    for part in _MARK.split(text):
+        if part:
+            first, *rest = part.split(" ")
+            if first:
+                out.append(first)
+            out += [" " + x for x in rest]
+    return out
 
 
 #: White space beside a space: there the plain split would cut inside a run.
 _ODD = re.compile(r"\s | \s")
+_MARK = re.compile(r"([.,](?<=[A-Za-zÀ-ÖØ-öø-ÿ][.,])(?=[ \n]\S)|\n(?<=\S\n)(?=\S))")
 
 
 class Counter:
