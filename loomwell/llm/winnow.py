@@ -39,9 +39,8 @@ GUARD = SPAN - GRAM + 1
 BROADCAST_ROWS = 500_000
 SALT = 16
 
-#: Words of lower-cased text, and the same places in text as it is.
+#: Words of lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -95,6 +94,11 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFram
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Hit texts only: (k1, k2, k3, hit array<int> of word positions from 0, items array<string>)."""
+    return _hits(docs, benchmark)[0]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
+    """The hits, and for every row (*kept, k1, k2, k3, n_words) from the same pass over the texts."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("iw")).distinct()
     items = cut(items.filter(F.size("iw") > 0).withColumn("grams", _grams(F.col("iw"), GRAM)))
     lengths = [r[0] for r in items.filter(F.size("iw") < SPAN).select(F.size("iw").alias("n")).distinct().collect()]
@@ -108,13 +112,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = _small(marks)
     prints = marks.select("g").distinct()
 
-    texts = docs.filter("text is not null").select("text", *text_key(F.col("text")))
-    words = texts.select(*KEY, words_of(F.col("text")).alias("w"))
-    found = words.select(*KEY, _grams(F.col("w"), GRAM).alias("g")).select(*KEY, F.explode(_least(F.col("g"))).alias("g"))
-    for n in lengths:
-        found = found.union(words.select(*KEY, F.explode(F.array_distinct(_grams(F.col("w"), n))).alias("g")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select(*kept, *text_key(text), words_of(text).alias("w")).withColumn("g", _grams(F.col("w"), GRAM))
+    short = [F.array_distinct(_grams(F.col("w"), n)) for n in lengths]
+    # the texts are cut into words and hashed once; the fingerprints stay in the shared folder
+    seen = cut(words.select(*kept, *KEY, F.size("w").cast("long").alias("n_words"), F.concat(_least(F.col("g")), *short).alias("g")))
+    found = seen.select(*KEY, F.explode("g").alias("g"))
     hot = cut(_meet(found, prints, ["g"], "left_semi", few, True).select(KEY).distinct())
 
+    texts = docs.filter("text is not null").select("text", *text_key(F.col("text")))
     hit_texts = _meet(texts, hot, KEY, "left_semi", _small(hot), False).dropDuplicates(KEY)
     hit_words = cut(hit_texts.select(*KEY, words_of(F.col("text")).alias("w")))
     anchors = hit_words.select(*KEY, F.posexplode(_grams(F.col("w"), GRAM)).alias("p", "g"))
@@ -132,16 +138,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(1), F.size("same") - F.col("n") + 1), lambda q: F.forall(F.slice(F.col("same"), q, F.col("n")), lambda x: x))
     lines = lines.select(*KEY, "item_id", "d", "n", starts.alias("starts")).filter(F.size("starts") > 0)
     covered = F.flatten(F.transform("starts", lambda q: F.sequence(F.col("d") + q - 1, F.col("d") + q + F.col("n") - 2)))
-    return lines.select(*KEY, F.array_distinct(covered).alias("hit"), F.col("item_id").cast("string").alias("item")).groupBy(KEY).agg(
+    hits = lines.select(*KEY, F.array_distinct(covered).alias("hit"), F.col("item_id").cast("string").alias("item")).groupBy(KEY).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.collect_set("item")).alias("items")
     )
+    return hits, seen.drop("g")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items array<string>, contaminated) of every row."""
-    hits = find_hits(docs, benchmark)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", *text_key(text), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    hits, rows = _hits(docs, benchmark, "doc_id")
     n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
     return rows.join(hits.select(*KEY, F.col("hit"), F.col("items")), KEY, "left").select(
