@@ -103,6 +103,21 @@ def near_neighbours(prints: np.ndarray, starts: np.ndarray, ends: np.ndarray, ra
     return np.concatenate(left), np.concatenate(right)
 
 
+def tree(a: np.ndarray, b: np.ndarray, n: int):
+    """Of the links (a, b) between n rows those that join two classes, nearest rows first."""
+    parent = list(range(n))
+    keep = []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+            keep.append(k)
+    return a[keep], b[keep]
+
+
 def within(planes: np.ndarray, queries: np.ndarray, radius: int, open_words: np.ndarray) -> np.ndarray:
     """For each query the columns at `radius` or less, as a bit matrix (query, word).
 

@@ -142,7 +142,7 @@ def _compare(radius: int):
         if small.any():
             at = np.flatnonzero(np.repeat(small, size))
             e2 = np.cumsum(size[small])
-            a, b = bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius)
+            a, b = bitslice.tree(*bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius), len(at))
             pairs.append((node[at[a]], node[at[b]]))
         for s, e in zip(starts[size > bitslice.SMALL], ends[size > bitslice.SMALL]):
             a, b = bitslice.classes(prints[s:e], radius)

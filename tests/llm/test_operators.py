@@ -123,6 +123,8 @@ def test_bit_sliced_comparison(n, radius):
     want = {(i, j) for j in range(n) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= radius}
     got = set(zip(*bitslice.near_neighbours(a, np.array([0]), np.array([n]), radius)))
     assert got == want
+    short = bitslice.tree(*bitslice.near_neighbours(a, np.array([0]), np.array([n]), radius), n)
+    assert len(short[0]) == n - len(set(brute_classes(prints, radius)))
     left, right = bitslice.classes(a, radius)
     assert {(min(i, j), max(i, j)) for i, j in zip(left, right)} <= want and len(left) < n
     parent = list(range(n))
