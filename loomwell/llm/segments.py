@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import text_input
 
 #: Bytes of text in a segment, about; it is handled by one Python call.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: A null doc_id comes first.
 NULL_ID = -(1 << 63)
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
