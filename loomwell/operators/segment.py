@@ -45,10 +45,38 @@ def windows(df: DataFrame, tokens: str, length: int, *keys: str) -> DataFrame:
     return rows.select(*keys, "idx", F.slice(tokens, F.col("idx") * length + 1, length).alias("input"), F.slice(tokens, F.col("idx") * length + 2, length).alias("target"))
 
 
-def stream_positions(df: DataFrame, tokens: str, *order: str) -> DataFrame:
-    """Global token offsets without a global sort of the tokens: lengths are summed by key only."""
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(F.size(tokens).cast("long")).over(before), F.lit(0)))
+BUCKETS = 256
+
+
+def range_bucket(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
+    """Bucket number that grows with a numeric key; bounds are approximate quantiles."""
+    at = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, at, 10 * buckets)).first()[0] or []))
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key)))
+
+
+def row_numbers(df: DataFrame, name: str, bucket: Column, *order) -> DataFrame:
+    """Adds `name`, the position from 0 in the order, without sorting everything in one task.
+
+    `bucket` must not fall along the order.  Rows are numbered inside their bucket; the sizes of
+    the buckets, a table of one row for each, give what comes before.
+    """
+    rows = df.withColumn("__b", bucket)
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("__size"))
+    before = sizes.select("__b", (F.sum("__size").over(Window.orderBy("__b")) - F.col("__size")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    return rows.join(F.broadcast(before), "__b").withColumn(name, nth + F.col("__before")).drop("__b", "__before")
+
+
+def stream_positions(df: DataFrame, tokens: str, key: str) -> DataFrame:
+    """Adds the global offset of each row's first token, in the order of a numeric key."""
+    rows = df.withColumn("__b", range_bucket(df, key)).withColumn("__n", F.size(tokens).cast("long"))
+    sums = rows.groupBy("__b").agg(F.sum("__n").alias("__sum"))
+    before = sums.select("__b", (F.sum("__sum").over(Window.orderBy("__b")) - F.col("__sum")).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy("__b").orderBy(key)) - F.col("__n")
+    return rows.join(F.broadcast(before), "__b").withColumn("offset", within + F.col("__before")).drop("__b", "__n", "__before")
 
 
 def split_tail(df: DataFrame, idx: str, total: int, ratio: float) -> DataFrame:
@@ -63,9 +91,13 @@ def shuffle_rank(key: Column, seed: int, epoch: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed + 2 * epoch)), key.cast("string")))
 
 
-def batches(df: DataFrame, order: list[str], size: int, *cols: str) -> DataFrame:
-    """(batch_id, n, one array for each column); the last batch may be partial."""
-    nth = F.row_number().over(Window.orderBy(*order)) - 1
-    rows = df.withColumn("__n", nth).withColumn("batch_id", F.floor(F.col("__n") / size))
+def shuffle_bucket(key: Column, seed: int, epoch: int) -> Column:
+    """The leading byte of shuffle_rank: a bucket for row_numbers."""
+    return F.conv(F.substring(shuffle_rank(key, seed, epoch), 1, 2), 16, 10).cast("int")
+
+
+def batches(df: DataFrame, order: str, size: int, *cols: str) -> DataFrame:
+    """(batch_id, n, one array for each column) in the order of a numeric key; the last may be partial."""
+    rows = row_numbers(df, "__n", range_bucket(df, order), order).withColumn("batch_id", F.floor(F.col("__n") / size))
     packed = rows.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("__n", *cols))).alias("p"))
     return packed.select("batch_id", F.size("p").alias("n"), *[F.col("p").getField(c).alias(c) for c in cols])

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt, schedule, vector
-from ..operators import matrix_state
+from ..operators import matrix_state, segment
 from .core import query, quote, read
 
 R = 9  # decimals compared
 
 
 def events(spark, d) -> DataFrame:
-    return read(spark, d, "events").filter("event_id < 3000").select("event_id", "user_id", F.round("value", 4).alias("loss"))
+    return read(spark, d, "events").select("event_id", "user_id", F.round("value", 4).alias("loss"))
 
 
-EV = "(select event_id, user_id, round(value, 4) as loss from events where event_id < 3000)"
+EV = "(select event_id, user_id, round(value, 4) as loss from events)"
 def by_step():
     return Window.partitionBy("user_id").orderBy("event_id")
 
@@ -69,7 +69,7 @@ query("w12_bad_runs")(lambda s, d: series(s, d).select("user_id", F.aggregate("x
 query("w14_explosion", f"select event_id from (select event_id, max(case when loss > 10 * f or loss > 1e300 then 1 else 0 end) over (partition by user_id order by event_id) as bad from (select *, first(loss) over (partition by user_id order by event_id) as f from {EV})) where bad = 0")(
     lambda s, d: events(s, d).withColumn("f", F.first("loss").over(by_step())).withColumn("bad", F.max(F.when(F.col("loss") > 10 * F.col("f"), 1).otherwise(0)).over(by_step())).filter("bad = 0").select("event_id")
 )
-query("w15_batch_id", "select event_id, (row_number() over (order by event_id) - 1) // 256 as batch_id from events where event_id < 3000")(lambda s, d: events(s, d).select("event_id", F.floor((F.row_number().over(Window.orderBy("event_id")) - 1) / 256).alias("batch_id")))
+query("w15_batch_id", "select event_id, (row_number() over (order by event_id) - 1) // 256 as batch_id from events")(lambda s, d: (lambda e: segment.row_numbers(e, "n", segment.range_bucket(e, "event_id"), "event_id").select("event_id", F.floor(F.col("n") / 256).alias("batch_id")))(events(s, d).select("event_id")))
 query("g16_running_best", f"select event_id, min(loss) over (partition by user_id order by event_id) as best from {EV}")(lambda s, d: events(s, d).select("event_id", F.min("loss").over(by_step()).alias("best")))
 query("g14_perplexity", f"select user_id, round(exp(sum(loss / 100 * (1 + event_id % 7)) / sum(1 + event_id % 7)), 6) as ppl from {EV} group by user_id")(
     lambda s, d: events(s, d).withColumn("n", 1 + F.col("event_id") % 7).groupBy("user_id").agg(F.round(F.exp(F.sum(F.col("loss") / 100 * F.col("n")) / F.sum("n")), 6).alias("ppl"))
@@ -79,8 +79,8 @@ query("g17_throughput", f"select user_id, round(case when sum(loss) > 0 then cou
 )
 query("g18_mean_time", f"select round(avg(loss), 6) as mean from {EV}")(lambda s, d: events(s, d).agg(F.round(F.avg("loss"), 6).alias("mean")))
 query("f16_skip_batch", f"select event_id from {EV} where loss is not null and not isnan(loss) and loss <= 50")(lambda s, d: events(s, d).filter("loss is not null and not isnan(loss) and loss <= 50").select("event_id"))
-query("k10_cadence", "select event_id, event_id % 100 = 0 as evaluate, event_id % 500 = 0 as save from events where event_id < 3000 and event_id > 0 and event_id % 100 = 0")(
-    lambda s, d: events(s, d).filter("event_id > 0 and event_id % 100 = 0").select("event_id", F.lit(True).alias("evaluate"), (F.col("event_id") % 500 == 0).alias("save"))
+query("k10_cadence", "select event_id, event_id > 0 and event_id % 100 = 0 as evaluate, event_id > 0 and event_id % 500 = 0 as save from events")(
+    lambda s, d: events(s, d).select("event_id", ((F.col("event_id") > 0) & (F.col("event_id") % 100 == 0)).alias("evaluate"), ((F.col("event_id") > 0) & (F.col("event_id") % 500 == 0)).alias("save"))
 )
 query("o12_tail", "select event_id from events order by event_id desc limit 50")(lambda s, d: read(s, d, "events").select("event_id").orderBy(F.desc("event_id")).limit(50))
 
@@ -116,7 +116,7 @@ query("g15_accuracy", f"select round(avg(case when {TOPI}[1] = y then 1.0::doubl
     lambda s, d: logits(s, d).agg(F.round(F.avg(F.when(vector.argmax(F.col("x")) == F.col("y"), 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.when(F.array_contains(F.transform(vector.top_k(F.col("x"), 5), lambda r: r["i"]), F.col("y")), 1.0).otherwise(0.0)), 6).alias("top5"))
 )
 query("j8_gather", f"select vec_id, x[y + 1] as v from {LG}")(lambda s, d: logits(s, d).select("vec_id", F.get("x", F.col("y")).alias("v")))
-query("j9_embedding_lookup", "select event_id, e.embedding[1]::double as first from events join embeddings e on e.vec_id = event_id % 500 where event_id < 3000")(
+query("j9_embedding_lookup", "select event_id, e.embedding[1]::double as first from events join embeddings e on e.vec_id = event_id % 500")(
     lambda s, d: events(s, d).select("event_id", (F.col("event_id") % 500).alias("vec_id")).join(read(s, d, "embeddings"), "vec_id").select("event_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
 )
 query("g19_l2", f"select a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))), {R}) as dist from {LG} a join {LG} b on b.vec_id = a.vec_id + 1")(
@@ -149,15 +149,15 @@ STATE = "{'aa': 0.0::double, 'bb': 0.0::double, 'pp': -1e30::double, 'y': 0.0::d
 def wkv_sql(w: float, u: float, clamp: bool, eps: float) -> str:
     y = f"(exp(x.k + {u} - greatest(s.pp, x.k + {u})) * x.v + exp(s.pp - greatest(s.pp, x.k + {u})) * s.aa) / (exp(x.k + {u} - greatest(s.pp, x.k + {u})) + exp(s.pp - greatest(s.pp, x.k + {u})) * s.bb + {eps})"
     y = f"greatest(least({y}, 20.0), -20.0)" if clamp else y
-    return f"""with recursive kv as (select vec_id, i as t, x[i] as k, x[i % 64 + 1] as v from (select vec_id, x, unnest(range(1, 65)) as i from {LG} where vec_id < 60)),
-s as (select vec_id, 0::bigint as t, 0.0::double as aa, 0.0::double as bb, -1e30::double as pp, 0.0::double as y from {LG} where vec_id < 60 union all
+    return f"""with recursive kv as (select vec_id, i as t, x[i] as k, x[i % 64 + 1] as v from (select vec_id, x, unnest(range(1, 65)) as i from {LG})),
+s as (select vec_id, 0::bigint as t, 0.0::double as aa, 0.0::double as bb, -1e30::double as pp, 0.0::double as y from {LG} union all
 select x.vec_id, x.t, exp(s.pp + {w} - greatest(s.pp + {w}, x.k)) * s.aa + exp(x.k - greatest(s.pp + {w}, x.k)) * x.v, exp(s.pp + {w} - greatest(s.pp + {w}, x.k)) * s.bb + exp(x.k - greatest(s.pp + {w}, x.k)), greatest(s.pp + {w}, x.k), {y}
 from s join kv x on x.vec_id = s.vec_id and x.t = s.t + 1)
 select vec_id, t - 1 as t, round(y, 6) as y from s where t > 0"""
 
 
 def wkv_rows(spark, d, w, u, clamp, eps) -> DataFrame:
-    rows = logits(spark, d).filter("vec_id < 60").select("vec_id", "x", F.concat(F.slice("x", 2, 63), F.slice("x", 1, 1)).alias("v"))
+    rows = logits(spark, d).select("vec_id", "x", F.concat(F.slice("x", 2, 63), F.slice("x", 1, 1)).alias("v"))
     return rows.select("vec_id", F.posexplode(vector.wkv(F.col("x"), F.col("v"), w, u, clamp, eps)).alias("t", "y")).select("vec_id", F.col("t").cast("long").alias("t"), F.round("y", 6).alias("y"))
 
 
@@ -168,7 +168,7 @@ query("k4_wkv_plain", wkv_sql(-0.5, 0.3, False, 0.0))(lambda s, d: wkv_rows(s, d
 @query("k5_matrix_state")
 def k5(spark, d):
     part = lambda k: F.slice("x", k * 8 + 1, 8)
-    rows = logits(spark, d).filter("vec_id < 200").select((F.col("vec_id") % 10).alias("seq"), F.floor(F.col("vec_id") / 10).alias("t"), *[part(i).alias(n) for i, n in enumerate(("r", "w", "k", "v", "neg", "adapt"))])
+    rows = logits(spark, d).select((F.col("vec_id") % 10).alias("seq"), F.floor(F.col("vec_id") / 10).alias("t"), *[part(i).alias(n) for i, n in enumerate(("r", "w", "k", "v", "neg", "adapt"))])
     return matrix_state.run(rows.withColumn("w", F.transform("w", lambda x: -F.abs(x))), 2, 4)
 
 
@@ -211,11 +211,11 @@ query("m9_suggest", f"select name, coalesce(arg_max(b, s * 10 + b) filter (where
 query("m11_loss_scale", f"select user_id, round(list_reduce(list_prepend(1.0::double, xs), lambda a, x: case when x > 90 then a * 0.5 else a end), 9) as scale from {SERIES}")(
     lambda s, d: series(s, d).select("user_id", F.round(F.aggregate("xs", F.lit(1.0), lambda a, x: F.when(x > 90, a * 0.5).otherwise(a)), 9).alias("scale"))
 )
-LI = "(select l_orderkey * 7919 as n, l_linenumber from lineitem where l_orderkey < 2000)"
+LI = "(select l_orderkey * 7919 as n, l_linenumber from lineitem)"
 
 
 def numbers(spark, d) -> DataFrame:
-    return read(spark, d, "lineitem").filter("l_orderkey < 2000").select((F.col("l_orderkey") * 7919).alias("n"), "l_linenumber")
+    return read(spark, d, "lineitem").select((F.col("l_orderkey") * 7919).alias("n"), "l_linenumber")
 
 
 def unit_sql(units, rest: str, x: str = "n") -> str:
@@ -237,11 +237,11 @@ query("s24_metrics_rows", f"select event_id, concat_ws(',', event_id, printf('%.
 query("s26_log_lines", f"select event_id, 'step ' || event_id || ' | loss ' || printf('%.3f', loss) as line from {EV} where event_id % 10 = 0")(
     lambda s, d: events(s, d).filter("event_id % 10 = 0").select("event_id", F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" | loss "), fmt.fixed(F.col("loss"), 3)).alias("line"))
 )
-query("s27_meta", "select event_id, 'step' as k, event_id::varchar as v from events where event_id < 100")(
-    lambda s, d: events(s, d).filter("event_id < 100").select("event_id", F.explode(F.str_to_map(F.concat(F.lit("step="), F.col("event_id").cast("string")), F.lit("\n"), F.lit("="))).alias("k", "v"))
+query("s27_meta", "select event_id, 'step' as k, event_id::varchar as v from events")(
+    lambda s, d: events(s, d).select("event_id", F.explode(F.str_to_map(F.concat(F.lit("step="), F.col("event_id").cast("string")), F.lit("\n"), F.lit("="))).alias("k", "v"))
 )
-query("s28_json", "select event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' as j from events where event_id < 3000")(
-    lambda s, d: read(s, d, "events").filter("event_id < 3000").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("j"))
+query("s28_json", "select event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' as j from events")(
+    lambda s, d: read(s, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("j"))
 )
 query("s29_inline", "select * from (values (1, 'O Brasil'), (2, 'A lei')) t(id, prompt)")(lambda s, d: s.createDataFrame([(1, "O Brasil"), (2, "A lei")], "id int, prompt string"))
 query("p3_dispatch", f"select c_custkey, coalesce(m, 768)::bigint as width from customer left join {PRE} on name = case c_custkey % 4 when 0 then '400m' when 1 then '1b' when 2 then '1.5b' else 'other' end")(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, fmt, normalize, quality
@@ -29,19 +29,12 @@ DIRT = [
     "THIS LINE IS ALL IN CAPITALS AND IT IS LONGER THAN FIFTY BYTES", "ok \\x00 and \\u0000 escape", "CAPS AND ESCAPES TOGETHER \\x41 MAKE A LINE LONGER THAN FIFTY", "\ufeffbyte order mark", "strngths krzptw here",
     "{}@# symbols ## in ** a $$ line", "日本語の行だけでできている", "a plain line without any dirt in it", "  ", "mixed é ã ç letters – and … signs º",
 ]
-SHORT = "substring(text, 1, 400)"
-
-
-def short():
-    return F.substring("text", 1, 400)
-
-
 def with_raw(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.concat(pick("doc_id", RAW), F.lit(" "), short()).alias("text"))
+    return read(spark, d, "documents").select("doc_id", F.concat(pick("doc_id", RAW), F.lit(" "), F.col("text")).alias("text"))
 
 
 def with_markup(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.concat(pick("doc_id", MARKUP), F.lit("\n"), short()).alias("text"))
+    return read(spark, d, "documents").select("doc_id", F.concat(pick("doc_id", MARKUP), F.lit("\n"), F.col("text")).alias("text"))
 
 
 def with_dirt(spark, d) -> DataFrame:
@@ -49,8 +42,8 @@ def with_dirt(spark, d) -> DataFrame:
     return segment.lines(rows, "text", "doc_id")
 
 
-RAW_SQL = f"(select doc_id, concat({pick_sql('doc_id', RAW)}, ' ', {SHORT}) as text from documents)"
-MARKUP_SQL = f"(select doc_id, concat({pick_sql('doc_id', MARKUP)}, chr(10), {SHORT}) as text from documents)"
+RAW_SQL = f"(select doc_id, concat({pick_sql('doc_id', RAW)}, ' ', text) as text from documents)"
+MARKUP_SQL = f"(select doc_id, concat({pick_sql('doc_id', MARKUP)}, chr(10), text) as text from documents)"
 DIRT_SQL = (
     "(select doc_id, cast(unnest(range(0, len(l))) as integer) as line_no, unnest(l) as line from "
     f"(select doc_id, string_split(concat({pick_sql('doc_id', DIRT)}, chr(10), text), chr(10)) as l from documents))"
@@ -217,6 +210,10 @@ query("g21_class_counts", rf"select doc_id, line_no, len(regexp_extract_all(line
     lambda s, d: with_dirt(s, d).select("doc_id", "line_no", F.regexp_count("line", F.lit("[A-Z]")).cast("long").alias("upper_count"), F.regexp_count("line", F.lit(quality.FOREIGN)).cast("long").alias("foreign_count"))
 )
 
+def numbered(df: DataFrame) -> DataFrame:
+    return segment.row_numbers(df, "pos", segment.range_bucket(df, "doc_id"), "doc_id")
+
+
 # --- filters, sources, segmentation ------------------------------------------------------------
 
 query("f1_min_bytes", f"select doc_id from documents where strlen({TRIM.format('text')}) >= 100")(lambda s, d: read(s, d, "documents").filter(F.octet_length(normalize.trim(F.col("text"))) >= 100).select("doc_id"))
@@ -272,7 +269,7 @@ query("s3_articles", f"select doc_id, title from {WIKI_SQL} where ns = 0 and str
     lambda s, d: wiki.articles(wiki_rows(s, d)).select("doc_id", "title")
 )
 query("s19_shards", "select doc_id, (row_number() over (order by doc_id) - 1) // 100 as shard from documents")(
-    lambda s, d: read(s, d, "documents").select("doc_id", F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 100).cast("long").alias("shard"))
+    lambda s, d: numbered(read(s, d, "documents").select("doc_id")).select("doc_id", F.floor(F.col("pos") / 100).cast("long").alias("shard"))
 )
 query("g13_article_totals", "select count(*) as articles, sum(strlen(text))::bigint as bytes, ceil(count(*) / 100.0)::bigint as shards from documents")(
     lambda s, d: read(s, d, "documents").agg(F.count("*").alias("articles"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.ceil(F.count("*") / 100.0).alias("shards"))
@@ -301,7 +298,7 @@ COUNT_SQL = f"(select word, count(*) as freq from {PRE_SQL} where strlen(word) <
 query("x1_pre_tokens", f"select doc_id, word, count(*) as n from {PRE_SQL} group by doc_id, word")(lambda s, d: pre_words(s, d).groupBy("doc_id", "word").agg(F.count("*").alias("n")))
 query("g1_word_freq", f"select * from {COUNT_SQL}")(lambda s, d: bpe.word_counts(read(s, d, "documents")))
 query("g4_distinct_words", f"select count(*) as total, count(distinct word) as dist from {PRE_SQL}")(lambda s, d: pre_words(s, d).agg(F.count("*").alias("total"), F.countDistinct("word").alias("dist")))
-BYTES_SQL = "list_transform(range(1, length(hex(encode({0}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::integer)"
+BYTES_SQL = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda z: ('0x' || z)::integer)"
 PAIR_SQL = f"""(with a as (select freq, {BYTES_SQL.format('word')} as ids from {COUNT_SQL}), b as (select freq, ids, unnest(range(1, len(ids))) as i from a where len(ids) > 1)
 select ids[i]::integer as "left", ids[i + 1]::integer as "right", sum(freq)::bigint as freq from b group by 1, 2)"""
 
@@ -336,34 +333,34 @@ def x5(spark, d):
     return bpe.decode(coded, bpe.token_table(spark, vocab), "tokens", "doc_id")
 
 
-query("x6_byte_encode", f"select doc_id, list_concat(list_concat([258], {BYTES_SQL.format(SHORT)}), [259]) as tokens from documents")(
-    lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.array(F.lit(258)), bpe.byte_ids(short()), F.array(F.lit(259))).alias("tokens"))
+query("x6_byte_encode", f"select doc_id, list_concat(list_concat([258], {BYTES_SQL.format("text")}), [259]) as tokens from documents")(
+    lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.array(F.lit(258)), bpe.byte_ids(F.col("text")), F.array(F.lit(259))).alias("tokens"))
 )
-query("x5_decode", f"select doc_id, {SHORT} as text from documents where text <> ''")(
-    lambda s, d: bpe.decode(read(s, d, "documents").select("doc_id", bpe.byte_ids(short()).alias("ids")), bpe.token_table(s, bpe.Vocabulary.base()), "ids", "doc_id")
+query("x5_decode", f"select doc_id, text as text from documents where text <> ''")(
+    lambda s, d: bpe.decode(read(s, d, "documents").select("doc_id", bpe.byte_ids(F.col("text")).alias("ids")), bpe.token_table(s, bpe.Vocabulary.base()), "ids", "doc_id")
 )
 query("x8_base_vocabulary", "select i::integer as id, lpad(printf('%X', i), 2, '0') as token from range(0, 256) t(i) union all select 256 + i, hex(encode(n)) from (values " + ", ".join(f"({i}, {quote(n)})" for i, n in enumerate(bpe.SPECIAL)) + ") s(i, n)")(
     lambda s, d: bpe.token_table(s, bpe.Vocabulary.base()).select("id", F.hex("token").alias("token"))
 )
-TOK = BYTES_SQL.format("substring(text, 1, 200)")
-WIN_SQL = f"(select doc_id, i::integer as idx, t[i * 16 + 1 : i * 16 + 16] as input, t[i * 16 + 2 : i * 16 + 17] as target from (select doc_id, t, unnest(range(0, (len(t) - 17) // 16)) as i from (select doc_id, {TOK} as t from documents) where len(t) >= 33))"
+TOK = BYTES_SQL.format("text")
+WIN_SQL = f"(select doc_id, i::integer as idx, t[i * 64 + 1 : i * 64 + 64] as input, t[i * 64 + 2 : i * 64 + 65] as target from (select doc_id, t, unnest(range(0, (len(t) - 65) // 64)) as i from (select doc_id, {TOK} as t from documents) where len(t) >= 129))"
 
 
 def window_rows(spark, d) -> DataFrame:
-    return segment.windows(read(spark, d, "documents").select("doc_id", bpe.byte_ids(F.substring("text", 1, 200)).alias("t")), "t", 16, "doc_id")
+    return segment.windows(read(spark, d, "documents").select("doc_id", bpe.byte_ids(F.col("text")).alias("t")), "t", 64, "doc_id")
 
 
 query("w1_windows", f"select * from {WIN_SQL}")(window_rows)
 query("d1_window_by_index", f"select * from {WIN_SQL} where idx = 2")(lambda s, d: window_rows(s, d).filter("idx = 2"))
 query("d2_window_counts", f"select count(*) as n, sum(len(input))::bigint as tokens from {WIN_SQL}")(lambda s, d: window_rows(s, d).agg(F.count("*").alias("n"), F.sum(F.size("input")).cast("long").alias("tokens")))
 query("d3_split", "select doc_id, case when rn - 1 >= greatest(n - greatest(floor(n * 0.1)::bigint, 100), 0) then 'val' else 'train' end as split from (select doc_id, row_number() over (order by doc_id) as rn, count(*) over () as n from documents)")(
-    lambda s, d: (lambda t: segment.split_tail(t.withColumn("idx", F.row_number().over(Window.orderBy("doc_id")) - 1), "idx", t.count(), 0.1).select("doc_id", "split"))(read(s, d, "documents").select("doc_id"))
+    lambda s, d: (lambda t: segment.split_tail(numbered(t), "pos", t.count(), 0.1).select("doc_id", "split"))(read(s, d, "documents").select("doc_id"))
 )
 query("r1_shuffle", "select doc_id, row_number() over (order by md5('44:' || doc_id), doc_id)::integer as pos from documents")(
-    lambda s, d: read(s, d, "documents").select("doc_id", F.row_number().over(Window.orderBy(segment.shuffle_rank(F.col("doc_id"), 42, 1), "doc_id")).alias("pos"))
+    lambda s, d: segment.row_numbers(read(s, d, "documents").select("doc_id"), "pos", segment.shuffle_bucket(F.col("doc_id"), 42, 1), segment.shuffle_rank(F.col("doc_id"), 42, 1), "doc_id").select("doc_id", (F.col("pos") + 1).cast("int").alias("pos"))
 )
 query("d4_batches", "select (rn - 1) // 32 as batch_id, count(*)::integer as n, list(doc_id order by rn) as doc_id from (select doc_id, row_number() over (order by doc_id) as rn from documents) group by 1")(
-    lambda s, d: segment.batches(read(s, d, "documents").select("doc_id"), ["doc_id"], 32, "doc_id")
+    lambda s, d: segment.batches(read(s, d, "documents").select("doc_id"), "doc_id", 32, "doc_id")
 )
 query("g12_tokens_written", "select count(*) as docs, sum(strlen(text) + 2)::bigint as tokens from documents where strlen(text) >= 100")(
     lambda s, d: read(s, d, "documents").filter(F.octet_length("text") >= 100).agg(F.count("*").alias("docs"), F.sum(F.octet_length("text") + 2).cast("long").alias("tokens"))

@@ -155,5 +155,16 @@ def test_split_and_batches(spark):
     ids = spark.range(150).withColumnRenamed("id", "idx")
     assert segment.split_tail(ids, "idx", 150, 0.1).filter("split = 'val'").count() == 100
     assert segment.split_tail(ids, "idx", 90, 0.1).filter("idx < 90 and split = 'train'").count() == 0
-    rows = segment.batches(ids, ["idx"], 64, "idx").orderBy("batch_id").collect()
+    rows = segment.batches(ids, "idx", 64, "idx").orderBy("batch_id").collect()
     assert [r.n for r in rows] == [64, 64, 22] and rows[2].idx[-1] == 149
+
+
+def test_positions_without_a_global_sort(spark):
+    rows = [(i * 7 % 101, list(range(i % 5))) for i in range(101)]
+    df = spark.createDataFrame(rows, "k long, t array<int>").repartition(5)
+    got = {r.k: r.offset for r in segment.stream_positions(df, "t", "k").collect()}
+    at, want = 0, {}
+    for k, t in sorted(rows):
+        want[k] = at
+        at += len(t)
+    assert got == want
