@@ -3,7 +3,7 @@
 Stages, each on all that the one before kept:
  1. toxicity: rows whose text is predicted toxic go.
  2. SimHash near-dedup: of each group of like documents the one with the smallest doc_id stays.
-    Like means: 256-bit fingerprints of five-word shingles differ in RADIUS bits or fewer, which
+    Like means: 256-bit fingerprints of sets of five-word shingles differ in RADIUS bits or fewer, which
     is the distance of texts with a similarity of 0.8, with room for chance (see README.md).
  3. benchmark decontamination: rows that hold a benchmark window go.
  4. PII: spans are masked in the text.
@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     made = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), made))
-    groups = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE, PRINT_WORDS, RADIUS, DIFFERING)
+    groups = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE, PRINT_WORDS, RADIUS, DIFFERING, distinct=True)
     heads = groups.select(F.col("component_id").alias("__key")).distinct()
     kept = keyed.join(heads, "__key", "left_semi")
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("text"))

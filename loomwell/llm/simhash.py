@@ -3,7 +3,7 @@
 Fingerprints.  A text is lower-cased (A-Z only), cut into words at space and \\x09-\\x0D, and
 into runs of `shingle` words joined by one space (fewer words: all of them).  Bit b of the
 fingerprint is 1 if more than half of the shingles' XXH64 values (seed 42; further 64-bit words
-use the seeds 43, 44, ...) have bit b.  Repeated shingles count each time.  No words: all zero.
+use the seeds 43, 44, ...) have bit b.  Repeated shingles count each time, unless `distinct` asks for sets.  No words: all zero.
 
 Links.  Two texts link if their fingerprints differ in `radius` bits or fewer.  Equal
 fingerprints are collapsed first, so exact copies cost nothing.  Distinct fingerprints meet in
@@ -61,9 +61,11 @@ def shingles(text: bytes, size: int) -> list[bytes]:
     return [flat[s : e - 1] for s, e in zip(starts, ends[size - 1 :])]
 
 
-def fingerprint(text: bytes, size: int = 3, words: int = 1) -> np.ndarray:
-    """`words` 64-bit words of the fingerprint."""
+def fingerprint(text: bytes, size: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """`words` 64-bit words of the fingerprint; distinct: each shingle counts once."""
     parts = shingles(text, size)
+    if distinct:
+        parts = list(set(parts))
     out = np.zeros(words, np.uint64)
     if not parts:
         return out
@@ -77,12 +79,12 @@ def fingerprint(text: bytes, size: int = 3, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, print array<long>), one row for each input row."""
 
     def run(batches):
         for part in slices(batches):
-            rows = [fingerprint(t.as_py() or b"", size, words) for t in part.column(1)]
+            rows = [fingerprint(t.as_py() or b"", size, words, distinct) for t in part.column(1)]
             prints = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
             offs = pa.array(np.arange(0, len(prints) + 1, words, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(offs, pa.array(prints))], ["doc_id", "print"])
@@ -196,20 +198,21 @@ def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
     return rows.mapInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False) -> DataFrame:
     """(doc_id, print, component_id) of every row.
 
     differing: share of differing bits for which sampled keys are laid out; None: exact keys.
+    distinct: fingerprints of shingle sets, so that a line repeated inside a text weighs once.
     """
-    prints = cut(fingerprints(docs, size, words))
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
-    named = distinct.filter("node is not null")
+    prints = cut(fingerprints(docs, size, words, distinct))
+    different = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
+    named = different.filter("node is not null")
     if differing is None:
         sets = block_keys(radius, words)
     else:
         sets = sampled_keys(named.count(), words, differing)
     roots = connected_components(links(named.select("node", "print"), sets, radius))
-    classed = distinct.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
+    classed = different.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classed, "print").select("doc_id", "print", "component_id")
 
 

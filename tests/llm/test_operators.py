@@ -154,6 +154,13 @@ def test_simhash_classes(spark, awkward, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_repeated_lines_weigh_once_in_sets():
+    line = "one line that both texts repeat "
+    a, b = ((prose(k, 60, 5000) + " " + line * 60).encode() for k in (1, 2))
+    differ = lambda **x: sum(bin(int(p ^ q)).count("1") for p, q in zip(simhash.fingerprint(a, 5, 4, **x), simhash.fingerprint(b, 5, 4, **x)))
+    assert differ() < 48 < differ(distinct=True)
+
+
 def test_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
     r = random.Random(3)
