@@ -3,8 +3,9 @@
 Stages, each on all that the one before kept:
  1. toxicity: rows whose text is predicted toxic go.
  2. SimHash near-dedup: of each group of like documents the one with the smallest doc_id stays.
-    Like means: 256-bit fingerprints of sets of five-word shingles differ in RADIUS bits or fewer, which
-    is the distance of texts with a similarity of 0.8, with room for chance (see README.md).
+    Like means: sets of five-word shingles with a Jaccard similarity of 0.8 or more, directly or through
+    others.  Candidates are texts whose 256-bit fingerprints of these sets differ in RADIUS bits or fewer,
+    the distance at that similarity with room for chance (see README.md).
  3. benchmark decontamination: rows that hold a benchmark window go.
  4. PII: spans are masked in the text.
  5. BPE: token ids of every text.
@@ -29,8 +30,8 @@ from loomwell.session import ship
 SHINGLE, PRINT_WORDS, SIMILARITY = 5, 4, 0.8
 #: Share of bits in which texts of that similarity differ: the angle between their shingle sets.
 DIFFERING = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-#: Mean distance at that similarity plus 1.6 standard deviations.
-RADIUS = round(64 * PRINT_WORDS * DIFFERING + 1.6 * math.sqrt(64 * PRINT_WORDS * DIFFERING * (1 - DIFFERING)))
+#: Mean distance at that similarity plus 2.5 standard deviations.
+RADIUS = round(64 * PRINT_WORDS * DIFFERING + 2.5 * math.sqrt(64 * PRINT_WORDS * DIFFERING * (1 - DIFFERING)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     made = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), made))
-    groups = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE, PRINT_WORDS, RADIUS, DIFFERING, distinct=True)
+    groups = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE, PRINT_WORDS, RADIUS, DIFFERING, distinct=True, similarity=SIMILARITY)
     heads = groups.select(F.col("component_id").alias("__key")).distinct()
     kept = keyed.join(heads, "__key", "left_semi")
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("text"))

@@ -8,6 +8,8 @@ of its counters have passed the radius.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,9 +105,16 @@ def near_neighbours(prints: np.ndarray, starts: np.ndarray, ends: np.ndarray, ra
     return np.concatenate(left), np.concatenate(right)
 
 
-def tree(a: np.ndarray, b: np.ndarray, n: int):
-    """Of the links (a, b) between n rows those that join two classes, nearest rows first."""
-    parent = list(range(n))
+def distances(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of rows."""
+    return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int32)
+
+
+def tree(a: np.ndarray, b: np.ndarray, prints: np.ndarray):
+    """Of the links (a, b) between rows those of a spanning forest, links of few differing bits first."""
+    order = np.argsort(distances(prints, a, b), kind="stable")
+    a, b = a[order], b[order]
+    parent = list(range(len(prints)))
     keep = []
     for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
         while parent[i] != i:
@@ -142,17 +151,22 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int, open_words: np.
     return out
 
 
+def levels(radius: int) -> list[int]:
+    """Radii that `classes` goes through: a wide one in three steps, so that near links come first."""
+    return [radius] if radius < 9 else [radius // 3, 2 * radius // 3, radius]
+
+
 def classes(prints: np.ndarray, radius: int):
     """Tree edges (i, j) of the link graph inside one large group: n - 1 at most, never all pairs.
 
-    Every row is compared, ROWS at a time, with the columns that may still join another class
+    Each level of radius joins the classes that the level before left.  Every row is compared, ROWS at a time, with the columns that may still join another class
     to its own; a link that joins two classes becomes an edge, any other adds nothing.
     """
     n = len(prints)
     planes = planes_of(prints)
     label = np.arange(n)
     left, right = [], []
-    for at in range(0, n, ROWS):
+    for near, at in itertools.product(levels(radius), range(0, n, ROWS)):
         ask = np.arange(at, min(n, at + ROWS))
         want = np.zeros(planes.shape[1] * 64, np.uint8)
         want[:n] = np.arange(n) > at
@@ -160,7 +174,7 @@ def classes(prints: np.ndarray, radius: int):
             want[:n] &= label != label[at]
         if not want.any():
             continue
-        hit = within(planes, prints[ask], radius, np.packbits(want, bitorder="little").view(np.uint64))
+        hit = within(planes, prints[ask], near, np.packbits(want, bitorder="little").view(np.uint64))
         some = np.flatnonzero(hit.any(axis=1))
         for q in some:
             got = np.flatnonzero(np.unpackbits(hit[q].view(np.uint8), bitorder="little"))

@@ -1,0 +1,105 @@
+"""Exact check of near-duplicate links on the texts themselves.
+
+Candidate edges (a, b, d) come from fingerprints; d is the number of differing bits.  An edge is
+kept if the Jaccard similarity of the two texts' sets of shingles is `similarity` or more (equal
+sets, empty ones too, always are).
+
+Verifying every candidate would move a text once for each edge of its node, so edges are asked in
+rounds: each class asks its nearest open edge, classes that a kept edge joins become one, and
+edges inside a class are settled without a look at the texts.  After ROUNDS rounds all edges that
+are still open are asked.  Every candidate is thus either verified or inside a verified class.
+
+The texts of an edge meet in a shuffle by edge; a node of many edges is dealt out to several join
+keys first, so no task holds all edges of one text.  A task holds two texts at a time.  Of rows
+with equal node the least text counts; null text is empty.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, slices
+from .components import connected_components
+from .shingle import shingles
+
+#: Rounds in which a class asks one edge.
+ROUNDS = 2
+#: Edges of one node that share a join key.
+EDGES_PER_KEY = 1000
+#: The list of nodes with more edges is broadcast up to this many.
+BROADCAST_NODES = 100_000
+
+
+def alike(a: set, b: set, similarity: float) -> bool:
+    both = len(a & b)
+    return a == b or both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _pairs(size: int, similarity: float):
+    """Rows (a, b, node, text) sorted by all four -> the (a, b) whose texts are alike."""
+
+    def run(batches):
+        edge, first, second = None, None, False
+        known, known_set = None, None
+        for part in slices(batches, 256):
+            left, right = [], []
+            for a, b, node, text in zip(*(part.column(k) for k in range(4))):
+                a, b, node = a.as_py(), b.as_py(), node.as_py()
+                if (a, b) != edge:
+                    edge, first, second = (a, b), None, False
+                if node == a and first is None:
+                    if known != a:
+                        known, known_set = a, set(shingles(text.as_py() or b"", size))
+                    first = known_set
+                elif node == b and first is not None and not second:
+                    second = True
+                    if alike(first, set(shingles(text.as_py() or b"", size)), similarity):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def verified(texts: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The distinct edges (a < b) whose texts (node, text) are alike."""
+    ends = edges.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    load = cut(ends.groupBy("node").agg(F.ceil(F.count("*") / F.lit(EDGES_PER_KEY)).cast("int").alias("c")).filter("c > 1"))
+    if load.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        load = F.broadcast(load)
+    ways = F.coalesce("c", F.lit(1))
+    ends = ends.join(load, "node", "left").select("a", "b", "node", F.pmod(F.xxhash64("a", "b"), ways).cast("int").alias("way"))
+    texts = texts.select("node", F.col("text").cast("binary").alias("text")).join(load, "node", "left")
+    texts = texts.select("node", "text", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"))
+    rows = ends.join(texts, ["node", "way"]).select("a", "b", "node", "text")
+    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b", "node", "text")
+    return rows.mapInArrow(_pairs(size, similarity), "a long, b long")
+
+
+def _asked(still: DataFrame) -> DataFrame:
+    """Of each class its open edge of fewest differing bits."""
+    ends = still.select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("d", "a", "b").alias("edge"))
+    return ends.groupBy("root").agg(F.min("edge").alias("edge")).select("edge.a", "edge.b").distinct()
+
+
+def alike_components(texts: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root) of the components that the verified edges make; nodes without one are absent."""
+    still = cut(edges.groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb")))
+    kept = still.select("a", "b").limit(0)
+    roots = connected_components(kept)
+    for k in range(ROUNDS + 1):
+        if still.isEmpty():
+            break
+        asked = cut(_asked(still) if k < ROUNDS else still.select("a", "b"))
+        kept = kept.union(cut(verified(texts, asked, size, similarity)))
+        roots = cut(connected_components(kept))
+        if k == ROUNDS:
+            break
+        still = still.join(asked, ["a", "b"], "left_anti").select("a", "b", "d")
+        for end, name in (("a", "ra"), ("b", "rb")):
+            named = roots.select(F.col("node").alias(end), F.col("root").alias(name))
+            still = still.join(named, end, "left").withColumn(name, F.coalesce(name, end))
+        still = cut(still.filter("ra <> rb"))
+    return roots

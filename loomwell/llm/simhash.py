@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import bitslice
 from .common import cut, slices
 from .components import connected_components
+from .jaccard import alike_components
+from .shingle import shingles
 
 SEED = 42
 #: Rows of a bucket that one task group holds; larger buckets are compared chunk by chunk.
@@ -49,18 +51,6 @@ BROADCAST_BUCKETS = 100_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def shingles(text: bytes, size: int) -> list[bytes]:
-    words = text.lower().split()
-    if not words:
-        return []
-    flat = b" ".join(words)
-    if len(words) <= size:
-        return [flat]
-    ends = list(itertools.accumulate([len(w) + 1 for w in words]))
-    starts = [0, *ends]
-    return [flat[s : e - 1] for s, e in zip(starts, ends[size - 1 :])]
-
-
 def fingerprint(text: bytes, size: int = 3, words: int = 1, distinct: bool = False) -> np.ndarray:
     """`words` 64-bit words of the fingerprint; distinct: each shingle counts once."""
     parts = shingles(text, size)
@@ -144,16 +134,18 @@ def _compare(radius: int):
         if small.any():
             at = np.flatnonzero(np.repeat(small, size))
             e2 = np.cumsum(size[small])
-            a, b = bitslice.tree(*bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius), len(at))
-            pairs.append((node[at[a]], node[at[b]]))
+            a, b = bitslice.tree(*bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius), prints[at])
+            pairs.append((at[a], at[b]))
         for s, e in zip(starts[size > bitslice.SMALL], ends[size > bitslice.SMALL]):
             a, b = bitslice.classes(prints[s:e], radius)
-            pairs.append((node[s + a], node[s + b]))
+            pairs.append((s + a, s + b))
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs))
             if len(a):
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                apart = bitslice.distances(prints, a, b)
+                a, b = node[a], node[b]
+                found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["a", "b", "d"])
 
     def run(batches):
         held, rows = [], 0
@@ -184,7 +176,7 @@ def _compare(radius: int):
 
 
 def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
-    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b) of their links."""
+    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b, d differing bits) of their links."""
     rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>")
     # buckets above BUCKET_ROWS: at most one for each BUCKET_ROWS rows
     load = cut(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS))
@@ -195,14 +187,15 @@ def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
     rows = rows.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
-    return rows.mapInArrow(_compare(radius), "a long, b long")
+    return rows.mapInArrow(_compare(radius), "a long, b long, d long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
     """(doc_id, print, component_id) of every row.
 
     differing: share of differing bits for which sampled keys are laid out; None: exact keys.
     distinct: fingerprints of shingle sets, so that a line repeated inside a text weighs once.
+    similarity: links are kept only if the sets of shingles are that alike (jaccard.py); equal prints always link.
     """
     prints = cut(fingerprints(docs, size, words, distinct))
     different = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
@@ -211,7 +204,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int
         sets = block_keys(radius, words)
     else:
         sets = sampled_keys(named.count(), words, differing)
-    roots = connected_components(links(named.select("node", "print"), sets, radius))
+    edges = links(named.select("node", "print"), sets, radius)
+    if similarity is None:
+        roots = connected_components(edges)
+    else:
+        roots = alike_components(docs.select(F.col("doc_id").alias("node"), "text"), edges, size, similarity)
     classed = different.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classed, "print").select("doc_id", "print", "component_id")
 

@@ -9,8 +9,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from loomwell.llm import bitslice, bpechunk, chatfmt, components, htmltext, ordermin, pii, segments, simhash, subdedup, tokencount, toxicity, winnow
+from loomwell.llm import bitslice, bpechunk, chatfmt, components, htmltext, jaccard, ordermin, pii, segments, simhash, subdedup, tokencount, toxicity, winnow
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, print string"
@@ -123,7 +124,7 @@ def test_bit_sliced_comparison(n, radius):
     want = {(i, j) for j in range(n) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= radius}
     got = set(zip(*bitslice.near_neighbours(a, np.array([0]), np.array([n]), radius)))
     assert got == want
-    short = bitslice.tree(*bitslice.near_neighbours(a, np.array([0]), np.array([n]), radius), n)
+    short = bitslice.tree(*bitslice.near_neighbours(a, np.array([0]), np.array([n]), radius), a)
     assert len(short[0]) == n - len(set(brute_classes(prints, radius)))
     left, right = bitslice.classes(a, radius)
     assert {(min(i, j), max(i, j)) for i, j in zip(left, right)} <= want and len(left) < n
@@ -161,6 +162,46 @@ def test_repeated_lines_weigh_once_in_sets():
     assert differ() < 48 < differ(distinct=True)
 
 
+def brute_alike(texts, size=5, similarity=0.8):
+    sets = [set(simhash.shingles(t.encode(), size)) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("rounds,per_key", [(2, 1000), (1, 3), (0, 1)])
+def test_links_are_verified_on_texts(spark, empty, monkeypatch, rounds, per_key):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "EDGES_PER_KEY", per_key)
+    r = random.Random(5)
+    texts = ["", "a b", "A B"]
+    for k in range(6):
+        words = prose(k, 120, 3000).split()
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(r.randrange(6)):
+                copy[r.randrange(120)] = "CHANGED"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(rows(texts), DOC).select(F.col("doc_id").alias("node"), "text")
+    pairs = [(a, b, r.randrange(9)) for b in range(len(texts)) for a in range(b)]  # every pair, right or not
+    edges = spark.createDataFrame(pairs + pairs[:50], "a long, b long, d long")
+    got = {x.node: x.root for x in jaccard.alike_components(docs.union(docs), edges, 5, 0.8).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_alike(texts)
+    assert jaccard.alike_components(empty.select(F.col("doc_id").alias("node"), "text"), edges.limit(0), 5, 0.8).count() == 0
+
+
+def test_unlike_texts_of_near_prints_stay_apart(spark):
+    words = prose(1, 300, 9000).split()
+    half = words[:225] + prose(2, 75, 9000).split()  # similarity 0.6
+    docs = spark.createDataFrame(rows([" ".join(words), " ".join(half), " ".join(words[:-9])]), DOC)
+    out = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, 5, 4, 120, 0.1516, distinct=True, similarity=0.8).collect()}
+    assert out == {0: 0, 1: 1, 2: 0}
+
+
 def test_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
     r = random.Random(3)
