@@ -6,8 +6,9 @@ sets, empty ones too, always are).
 
 Verifying every candidate would move a text once for each edge of its node, so edges are asked in
 rounds: each class asks its nearest open edge, classes that a kept edge joins become one, and
-edges inside a class are settled without a look at the texts.  After ROUNDS rounds all edges that
-are still open are asked.  Every candidate is thus either verified or inside a verified class.
+edges inside a class are settled without a look at the texts.  After ROUNDS rounds, or when few
+edges are left besides, all that are still open are asked.  Every candidate is thus either
+verified or inside a verified class, and the classes do not depend on the rounds.
 
 The texts of an edge meet in a shuffle by edge; a node of many edges is dealt out to several join
 keys first, so no task holds all edges of one text.  A task holds two texts at a time.  Of rows
@@ -26,6 +27,8 @@ from .shingle import shingles
 
 #: Rounds in which a class asks one edge.
 ROUNDS = 2
+#: A round asks all open edges if they are no more than this many times those it would ask.
+WORTH = 2
 #: Edges of one node that share a join key.
 EDGES_PER_KEY = 1000
 #: The list of nodes with more edges is broadcast up to this many.
@@ -87,15 +90,17 @@ def _asked(still: DataFrame) -> DataFrame:
 def alike_components(texts: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
     """(node, root) of the components that the verified edges make; nodes without one are absent."""
     still = cut(edges.groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb")))
-    kept = still.select("a", "b").limit(0)
-    roots = connected_components(kept)
+    roots, kept = still.select(F.col("a").alias("node"), F.col("ra").alias("root")), still.select("a", "b").limit(0)
     for k in range(ROUNDS + 1):
-        if still.isEmpty():
+        still_open = still.count()
+        if not still_open:
             break
-        asked = cut(_asked(still) if k < ROUNDS else still.select("a", "b"))
+        asked = cut(_asked(still)) if k < ROUNDS else still.select("a", "b")
+        last = k == ROUNDS or asked.count() * WORTH >= still_open
+        asked = still.select("a", "b") if last else asked
         kept = kept.union(cut(verified(texts, asked, size, similarity)))
         roots = cut(connected_components(kept))
-        if k == ROUNDS:
+        if last:
             break
         still = still.join(asked, ["a", "b"], "left_anti").select("a", "b", "d")
         for end, name in (("a", "ra"), ("b", "rb")):

@@ -177,6 +177,7 @@ def brute_alike(texts, size=5, similarity=0.8):
 def test_links_are_verified_on_texts(spark, empty, monkeypatch, rounds, per_key):
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "EDGES_PER_KEY", per_key)
+    monkeypatch.setattr(jaccard, "WORTH", 1)
     r = random.Random(5)
     texts = ["", "a b", "A B"]
     for k in range(6):
