@@ -90,7 +90,7 @@ def block_keys(radius: int, words: int = 1, blocks: int = 4) -> list[list[int]]:
     return [sum(c, []) for c in itertools.combinations(parts, blocks - radius)]
 
 
-def sampled_keys(rows: int, words: int, differing: float, missed: float = 0.03) -> list[list[int]]:
+def sampled_keys(rows: int, words: int, differing: float, missed: float = 0.005) -> list[list[int]]:
     """Random bit sets such that a pair whose bits differ with probability `differing` shares
     one with probability 1 - missed.  Their length follows the number of rows, so that unlike
     fingerprints meet in a bounded number of buckets."""
