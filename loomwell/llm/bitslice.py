@@ -151,6 +151,25 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int, open_words: np.
     return out
 
 
+def crossing(prints: np.ndarray, label: np.ndarray, radius: int):
+    """All links (i, j), i < j, between rows of different labels, ROWS rows at a time."""
+    n = len(prints)
+    planes = planes_of(prints)
+    for at in range(0, n, ROWS):
+        ask = np.arange(at, min(n, at + ROWS))
+        want = np.zeros(planes.shape[1] * 64, np.uint8)
+        want[:n] = np.arange(n) > at
+        if (label[ask] == label[at]).all():
+            want[:n] &= label != label[at]
+        if not want.any():
+            continue
+        hit = within(planes, prints[ask], radius, np.packbits(want, bitorder="little").view(np.uint64))
+        q, j = np.nonzero(np.unpackbits(hit.view(np.uint8), axis=1, bitorder="little"))
+        i = ask[q]
+        new = (j > i) & (label[i] != label[j])
+        yield i[new], j[new]
+
+
 def levels(radius: int) -> list[int]:
     """Radii that `classes` goes through: a wide one in three steps, so that near links come first."""
     return [radius] if radius < 9 else [radius // 3, 2 * radius // 3, radius]

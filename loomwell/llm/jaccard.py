@@ -7,9 +7,15 @@ sets, empty ones too, always are).
 Verifying every candidate would move a text once for each edge of its node, so edges are asked in
 rounds: each class asks its nearest open edge, classes that a kept edge joins become one, and
 edges inside a class are settled without a look at the texts.  After ROUNDS rounds, or when few
-edges are left besides, all that are still open are asked.  Every candidate is thus either
+edges are left besides, all that are still open are asked.  Every edge is thus either
 verified or inside a verified class, and the classes do not depend on the rounds.
 
+The edges may be a spanning forest of the candidates.  Then `further` gives the other candidates,
+and those between different verified classes are asked as well: first one share, so that classes
+join, then the rest.  Only nodes whose class of candidates fell into several verified classes have
+such candidates.  At the end every candidate has been verified or is inside a verified class.
+Texts that are many and all nearly alike, but not alike enough, cost a check for each pair.
+
 The texts of an edge meet in a shuffle by edge; a node of many edges is dealt out to several join
 keys first, so no task holds all edges of one text.  A task holds two texts at a time.  Of rows
 with equal node the least text counts; null text is empty.
@@ -17,6 +23,8 @@ with equal node the least text counts; null text is empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +37,8 @@ from .shingle import shingles
 ROUNDS = 2
 #: A round asks all open edges if they are no more than this many times those it would ask.
 WORTH = 2
+#: Shares in which the candidates outside the forest are asked.
+SHARES = 2
 #: Edges of one node that share a join key.
 EDGES_PER_KEY = 1000
 #: The list of nodes with more edges is broadcast up to this many.
@@ -87,9 +97,13 @@ def _asked(still: DataFrame) -> DataFrame:
     return ends.groupBy("root").agg(F.min("edge").alias("edge")).select("edge.a", "edge.b").distinct()
 
 
-def alike_components(texts: DataFrame, edges: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, root) of the components that the verified edges make; nodes without one are absent."""
+def alike_components(texts: DataFrame, edges: DataFrame, size: int, similarity: float, further: Callable[[DataFrame, int, int], DataFrame] | None = None) -> DataFrame:
+    """(node, root) of the components that the verified edges make; nodes without one are absent.
+
+    further: (node, label), share, shares -> the candidates (a, b) of that share between nodes of different labels.
+    """
     still = cut(edges.groupBy("a", "b").agg(F.min("d").alias("d")).select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb")))
+    forest = still.select("a", "b")
     roots, kept = still.select(F.col("a").alias("node"), F.col("ra").alias("root")), still.select("a", "b").limit(0)
     for k in range(ROUNDS + 1):
         still_open = still.count()
@@ -107,4 +121,26 @@ def alike_components(texts: DataFrame, edges: DataFrame, size: int, similarity:
             named = roots.select(F.col("node").alias(end), F.col("root").alias(name))
             still = still.join(named, end, "left").withColumn(name, F.coalesce(name, end))
         still = cut(still.filter("ra <> rb"))
+    if further is None:
+        return roots
+    reach = None
+    for share in range(SHARES):
+        refused = _across(forest, roots)
+        if refused.isEmpty():
+            break
+        if reach is None:
+            reach = cut(connected_components(forest).withColumnRenamed("root", "reach"))
+        opened = refused.select(F.col("a").alias("node")).join(reach, "node").select("reach").distinct()
+        labels = reach.join(opened, "reach").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+        asked = cut(further(cut(labels), share, SHARES).join(refused, ["a", "b"], "left_anti"))
+        kept = kept.union(cut(verified(texts, asked, size, similarity)))
+        roots = cut(connected_components(kept))
     return roots
+
+
+def _across(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges (a, b) between different classes."""
+    for end, name in (("a", "ra"), ("b", "rb")):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(name))
+        edges = edges.join(named, end, "left").withColumn(name, F.coalesce(name, end))
+    return cut(edges.filter("ra <> rb").select("a", "b"))

@@ -18,6 +18,10 @@ of more than BUCKET_ROWS rows is dealt out as pairs of chunks, each its own task
 gives tree edges only, one fewer than its rows at most.  Components are found by
 components.connected_components.
 
+With `similarity` a tree edge can be refused by the check on the texts, and links that the tree
+left out then count.  `open_links` compares the buckets again and gives every link between rows of
+different verified classes; jaccard.py asks these too.
+
 Null text is empty; empty texts link to each other.  Rows with a null doc_id are returned, take
 part in links, and never name a component unless no other member has an id (then it is null).
 Repeated rows are returned as often as they come in.  Extra columns are ignored.
@@ -43,6 +47,8 @@ from .shingle import shingles
 SEED = 42
 #: Rows of a bucket that one task group holds; larger buckets are compared chunk by chunk.
 BUCKET_ROWS = 4096
+#: One open link in so many is asked before the others, so that classes join first.
+SHARE = 32
 #: Rows gathered before small buckets are compared together.
 BATCH_ROWS = 1 << 16
 #: The list of large buckets is broadcast up to this many.
@@ -115,7 +121,7 @@ def _key_rows(sets: list[list[int]]):
                 got = np.packbits(bits[:, chosen], axis=1, bitorder="little")
                 packed[:, : got.shape[1]] = got
                 key = packed.view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), part.column(0), part.column(1)], ["k", "key", "node", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), *part.columns], ["k", "key", *part.schema.names])
 
     return run
 
@@ -175,9 +181,69 @@ def _compare(radius: int):
     return run
 
 
-def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
-    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b, d differing bits) of their links."""
-    rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>")
+def _compare_open(radius: int, share: int, shares: int):
+    """Sorted rows (k, key, i, j, node, print, label) -> the links between labels that are in the share."""
+
+    def flush(group: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray):
+        new = np.ones(len(group), bool)
+        new[1:] = (group[1:] != group[:-1]).any(axis=1)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(group))
+        size = ends - starts
+        small = (size > 1) & (size <= bitslice.SMALL)
+        if small.any():
+            at = np.flatnonzero(np.repeat(small, size))
+            e2 = np.cumsum(size[small])
+            a, b = bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius)
+            a, b = at[a], at[b]
+            other = label[a] != label[b]
+            yield from give(node[a[other]], node[b[other]])
+        for s, e in zip(starts[size > bitslice.SMALL], ends[size > bitslice.SMALL]):
+            for a, b in bitslice.crossing(prints[s:e], label[s:e], radius):
+                yield from give(node[s + a], node[s + b])
+
+    def give(a: np.ndarray, b: np.ndarray):
+        found = np.stack([np.minimum(a, b), np.maximum(a, b)])
+        found = np.unique(found[:, share_of(found[0], found[1], shares) == share], axis=1)
+        if found.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1)
+            prints = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
+            held.append((group, batch.column(4).to_numpy(zero_copy_only=False), prints, batch.column(6).to_numpy(zero_copy_only=False)))
+            rows += batch.num_rows
+            if rows < BATCH_ROWS:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held)]
+            last = np.flatnonzero((whole[0] != whole[0][-1]).any(axis=1))
+            end = int(last[-1]) + 1 if len(last) else 0
+            if end:
+                yield from flush(*(x[:end] for x in whole))
+            held = [tuple(x[end:].copy() for x in whole)]
+            rows = len(held[0][0])
+        if rows:
+            yield from flush(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def share_of(a: np.ndarray, b: np.ndarray, shares: int) -> np.ndarray:
+    """A number below `shares` for each pair: 0 for one pair in SHARE, the last for the rest."""
+    if shares == 1:
+        return np.zeros(len(a), np.int64)
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    return np.where((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32) < np.uint64((1 << 32) // SHARE), 0, shares - 1)
+
+
+def _bucket_rows(prints: DataFrame, sets: list[list[int]]) -> DataFrame:
+    """(k, key, i, j, node, print, further columns) in sorted groups."""
+    more = prints.columns[2:]
+    rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>" + "".join(f", {c} long" for c in more))
     # buckets above BUCKET_ROWS: at most one for each BUCKET_ROWS rows
     load = cut(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS))
     if load.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
@@ -185,9 +251,18 @@ def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
     chunks = F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int"), F.lit(1))
     rows = rows.join(load, ["k", "key"], "left").withColumn("c", chunks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
-    rows = rows.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
-    return rows.mapInArrow(_compare(radius), "a long, b long, d long")
+    rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print", *more)
+    return rows.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
+
+
+def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
+    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b, d differing bits) of their links."""
+    return _bucket_rows(prints, sets).mapInArrow(_compare(radius), "a long, b long, d long")
+
+
+def open_links(prints: DataFrame, sets: list[list[int]], radius: int, share: int, shares: int) -> DataFrame:
+    """Fingerprints (node, print, label long) -> distinct links (a, b) between labels: one share of `shares`, together all."""
+    return _bucket_rows(prints, sets).mapInArrow(_compare_open(radius, share, shares), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
@@ -208,7 +283,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int
     if similarity is None:
         roots = connected_components(edges)
     else:
-        roots = alike_components(docs.select(F.col("doc_id").alias("node"), "text"), edges, size, similarity)
+
+        def further(labels: DataFrame, share: int, shares: int) -> DataFrame:
+            return open_links(named.join(labels, "node").select("node", "print", "label"), sets, radius, share, shares)
+
+        roots = alike_components(docs.select(F.col("doc_id").alias("node"), "text"), edges, size, similarity, further)
     classed = different.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classed, "print").select("doc_id", "print", "component_id")
 

@@ -502,3 +502,27 @@ def test_chat(spark):
         if w.conv_id == 0 and w.window > 1:
             assert body[0] == ("system", "be kind \\lx\\g")
     assert chatfmt.read_back(chatfmt.format_windows(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 48])
+def test_refused_links_do_not_hide_alike_texts(spark, monkeypatch, bucket_rows):
+    """A family at mutual similarity 0.74, each text with a partner at 0.83: partners stay together wherever their prints meet."""
+    monkeypatch.setattr(simhash, "sampled_keys", lambda *a, **b: [[]])  # one bucket of all
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket_rows)
+    common, texts = prose(1, 600, 90000), []
+    for k in range(50):
+        own = prose(100 + k, 100, 90000).split()
+        texts += [" ".join([common, *own]), " ".join([common, *own[:35], prose(900 + k, 65, 90000)])]
+    r = random.Random(1)
+    r.shuffle(texts)
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    prints = np.stack([simhash.fingerprint(t.encode(), 5, 4, True) for t in texts])
+    meant = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if jaccard.alike(sets[i], sets[j], 0.8) and bitslice.distances(prints, np.array([i]), np.array([j]))[0] <= 53:
+                low, high = sorted((meant[i], meant[j]))
+                meant = [low if x == high else x for x in meant]
+    assert 50 <= len(set(meant)) < 60
+    out = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows(texts), DOC), 5, 4, 53, 0.1516, distinct=True, similarity=0.8).collect()}
+    assert [out[i] for i in range(len(texts))] == meant
