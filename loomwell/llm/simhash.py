@@ -11,8 +11,8 @@ buckets:
   * radius < blocks: the fingerprint is cut into `blocks` blocks and a bucket key is the content
     of `blocks - radius` of them.  Two fingerprints within the radius agree in at least that many
     blocks, so no link is lost (exact).
-  * wide radius: `sampled_keys` draws sets of bits; a pair within the radius agrees in one of
-    them with the probability that the caller chose.
+  * wide radius: `sampled_keys` draws sets of bits; of the pairs within the radius a share that the
+    caller chose agrees in one of them, whatever the number of rows.
 Inside a bucket, planes of bits are compared with carry-save counters (bitslice.py).  A bucket
 of more than BUCKET_ROWS rows is dealt out as pairs of chunks, each its own task group; a group
 gives tree edges only, one fewer than its rows at most.  Components are found by
@@ -96,13 +96,31 @@ def block_keys(radius: int, words: int = 1, blocks: int = 4) -> list[list[int]]:
     return [sum(c, []) for c in itertools.combinations(parts, blocks - radius)]
 
 
-def sampled_keys(rows: int, words: int, differing: float, missed: float = 0.005) -> list[list[int]]:
-    """Random bit sets such that a pair whose bits differ with probability `differing` shares
-    one with probability 1 - missed.  Their length follows the number of rows, so that unlike
-    fingerprints meet in a bounded number of buckets."""
+def met(bits: int, count: int, total: int, differing: float, radius: int) -> float:
+    """Share of pairs within the radius that agree in one of `count` sets of `bits` of the `total` bits.
+
+    Each bit of a pair differs with probability `differing`; the mean is over the distances up to
+    the radius, not at the mean distance."""
+    radius = min(radius, total)
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    share = [math.exp(log(total, d) + d * math.log(differing) + (total - d) * math.log1p(-differing)) for d in range(radius + 1)]
+    agree = [math.exp(log(total - d, bits) - log(total, bits)) if total - d >= bits else 0.0 for d in range(radius + 1)]
+    return sum(p * (1 - (1 - q) ** count) for p, q in zip(share, agree)) / sum(share)
+
+
+def sampled_keys(rows: int, words: int, differing: float, radius: int, missed: float = 0.005) -> list[list[int]]:
+    """Random bit sets such that of the pairs whose bits differ with probability `differing`, and
+    that are within the radius, a share of 1 - missed agrees in one.  Their length follows the
+    number of rows, so that unlike fingerprints meet in a bounded number of buckets; their number
+    follows the length, so that the share is the same for every number of rows."""
     bits = max(16, math.ceil(math.log2(max(2, rows))))
-    meets = (1 - differing) ** bits
-    count = math.ceil(math.log(missed) / math.log(1 - meets))
+    count = 1
+    while met(bits, count, 64 * words, differing, radius) < 1 - missed:
+        count *= 2
+    low = count // 2
+    while count - low > 1:
+        mid = (low + count) // 2
+        low, count = (low, mid) if met(bits, mid, 64 * words, differing, radius) >= 1 - missed else (mid, count)
     draw = np.random.default_rng(7)
     return [sorted(map(int, draw.choice(words * 64, bits, replace=False))) for _ in range(count)]
 
@@ -268,7 +286,7 @@ def open_links(prints: DataFrame, sets: list[list[int]], radius: int, share: int
 def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
     """(doc_id, print, component_id) of every row.
 
-    differing: share of differing bits for which sampled keys are laid out; None: exact keys.
+    differing: mean share of differing bits for which sampled keys are laid out; None: exact keys.
     distinct: fingerprints of shingle sets, so that a line repeated inside a text weighs once.
     similarity: links are kept only if the sets of shingles are that alike (jaccard.py); equal prints always link.
     """
@@ -278,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int
     if differing is None:
         sets = block_keys(radius, words)
     else:
-        sets = sampled_keys(named.count(), words, differing)
+        sets = sampled_keys(named.count(), words, differing, radius)
     edges = links(named.select("node", "print"), sets, radius)
     if similarity is None:
         roots = connected_components(edges)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -526,3 +527,14 @@ def test_refused_links_do_not_hide_alike_texts(spark, monkeypatch, bucket_rows):
     assert 50 <= len(set(meant)) < 60
     out = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows(texts), DOC), 5, 4, 53, 0.1516, distinct=True, similarity=0.8).collect()}
     assert [out[i] for i in range(len(texts))] == meant
+
+
+def test_key_recall_does_not_depend_on_the_rows():
+    total, differing, radius = 256, math.acos(1.6 / 1.8) / math.pi, 53
+    chance = [math.comb(total, d) * differing**d * (1 - differing) ** (total - d) for d in range(radius + 1)]
+    for n in (10, 40_000, 1_000_000, 100_000_000):
+        sets = simhash.sampled_keys(n, 4, differing, radius)
+        bits = len(sets[0])
+        agree = [math.comb(total - d, bits) / math.comb(total, bits) for d in range(radius + 1)]
+        found = sum(p * (1 - (1 - q) ** len(sets)) for p, q in zip(chance, agree))
+        assert 0.988 <= found <= 0.9885
