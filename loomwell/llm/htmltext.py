@@ -6,8 +6,9 @@ For each path the text length and the punctuation per block make its ratio, lowe
 of link text; ratios are smoothed over neighbouring blocks of the page, both are fused as a
 geometric mean, and paths are thresholded against the best one.  Paths through an element that is
 never article text (navigation, forms, scripts, ..., or such a class, id or role) score zero.
-Everything else inside the container of the best path (an article or main element, or the parent
-of its blocks) is content too, so short paragraphs and headings of an article stay.
+Everything else inside the containers of the paths above the threshold (an article or main element,
+or the parent of the blocks), and inside the element that these share if that is less than the
+page, is content too, so short paragraphs and headings of an article stay.
 
 Blocks come out in page order, character references decoded, white space turned into one space,
 trimmed, joined by one \\n; nothing else is dropped or capped.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html
 import math
+import os
 import re
 
 import pyarrow as pa
@@ -172,6 +174,16 @@ def blocks(page: str) -> list[tuple[tuple, str, int, bool]]:
     return out
 
 
+def _holder(path: tuple) -> tuple:
+    """Container of a path's blocks: the innermost article or main element, else the parent."""
+    marked = [k for k, label in enumerate(path) if label.split(".")[0] in ("article", "main")]
+    return path[: marked[-1] + 1] if marked else path[:-1]
+
+
+def _wide(path: tuple) -> bool:
+    return not path or path[-1].split(".")[0] in ("body", "html")
+
+
 def _chosen(rows: list) -> list[bool]:
     """Which blocks are content."""
     if not rows:
@@ -192,20 +204,22 @@ def _chosen(rows: list) -> list[bool]:
     best = max(fused, key=lambda p: (fused[p] * math.sqrt(sums[p][1])))
     if fused[best] <= 0:
         return [False] * len(rows)
-    holder = best[:-1]
-    for k, label in enumerate(best):
-        if label.split(".")[0] in ("article", "main"):
-            holder = best[: k + 1]
-    wide = not holder or holder[-1].split(".")[0] in ("body", "html")
+    passed = {p for p, f in fused.items() if ratio[p] > 0 and f >= THRESHOLD * fused[best]} | {best}
+    holders = {_holder(p) for p in passed}
+    # what the containers share holds them all, unless that is the page
+    shared = os.path.commonprefix(list(holders))
+    if not _wide(shared):
+        holders = {shared}
     plain = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
     keep = {}
-    for p, f in fused.items():
+    for p in fused:
         if ratio[p] <= 0:
             keep[p] = False
-        elif p[: len(holder)] == holder and (not wide or p and p[-1].split(".")[0] in plain and p[:-1] == holder):
+        elif p in passed:
             keep[p] = True
         else:
-            keep[p] = f >= THRESHOLD * fused[best] and wide
+            inside = any(not _wide(p[:k]) and p[:k] in holders for k in range(len(p) + 1))
+            keep[p] = inside or bool(p) and p[-1].split(".")[0] in plain and p[:-1] in holders
     return [keep[r[0]] for r in rows]
 
 

@@ -538,3 +538,12 @@ def test_key_recall_does_not_depend_on_the_rows():
         agree = [math.comb(total - d, bits) / math.comb(total, bits) for d in range(radius + 1)]
         found = sum(p * (1 - (1 - q) ** len(sets)) for p, q in zip(chance, agree))
         assert 0.988 <= found <= 0.9885
+
+
+def test_html_without_article_keeps_all_containers():
+    first, second, intro = "Some words of text, in a first part. " * 5, "More words of text, in another part. " * 5, "An intro of the text, in words, that is long enough. " * 3
+    note = "<div class=footer><p>All rights, reserved. By us.</p></div>"
+    two = f"<html><body><div id=a><h2>One</h2><p>{first}</p></div><div id=b><h2>Two</h2><p>{second}</p></div>{note}</body></html>"
+    assert htmltext.main_text(two).split("\n") == ["One", first.strip(), "Two", second.strip()]
+    post = f"<body><div class=menu><p>Go home</p></div><div class=post><h1>Title</h1><p>{intro}</p><div class=text><p>{first}</p></div></div>{note}</body>"
+    assert htmltext.main_text(post).split("\n") == ["Title", intro.strip(), first.strip()]
