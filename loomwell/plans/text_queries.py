@@ -311,24 +311,24 @@ query("g2_pair_freq", f"select * from {PAIR_SQL}")(pairs)
 query("g3_best_pair", f'select * from {PAIR_SQL} order by freq desc, "left", "right" limit 1')(lambda s, d: bpe.best_pair(pairs(s, d)))
 
 
-def small_vocabulary(spark, d, merges: int = 60) -> bpe.Vocabulary:
-    return bpe.train(bpe.word_counts(read(spark, d, "documents"), min_frequency=20), 256 + len(bpe.SPECIAL) + merges)
+def vocabulary(spark, d) -> bpe.Vocabulary:
+    return bpe.train(bpe.word_counts(read(spark, d, "documents"), min_frequency=bpe.TRAIN_FREQUENCY), bpe.VOCABULARY, min_pair=bpe.TRAIN_FREQUENCY)
 
 
 @query("k1_bpe_train")
 def k1(spark, d):
-    vocab = small_vocabulary(spark, d)
+    vocab = vocabulary(spark, d)
     return spark.createDataFrame([(r, a, b, bytearray(vocab.tokens[256 + len(bpe.SPECIAL) + r])) for r, (a, b) in enumerate(vocab.merges)], "rank int, left int, right int, token binary")
 
 
 @query("x3_encode")
 def x3(spark, d):
-    return bpe.encode(read(spark, d, "documents").select("doc_id", "text"), small_vocabulary(spark, d)).select("doc_id", "tokens")
+    return bpe.encode(read(spark, d, "documents").select("doc_id", "text"), vocabulary(spark, d)).select("doc_id", "tokens")
 
 
 @query("x5_round_trip")
 def x5(spark, d):
-    vocab = small_vocabulary(spark, d)
+    vocab = vocabulary(spark, d)
     coded = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), vocab, wrap=False)
     return bpe.decode(coded, bpe.token_table(spark, vocab), "tokens", "doc_id")
 

@@ -168,3 +168,41 @@ def test_positions_without_a_global_sort(spark):
         want[k] = at
         at += len(t)
     assert got == want
+
+
+def plain_training(words, size, min_pair):
+    seqs = [(list(w.encode()), n) for w, n in words]
+    merges, new = [], 256 + len(bpe.SPECIAL)
+    while new < size:
+        counts = {}
+        for ids, n in seqs:
+            for p in zip(ids, ids[1:]):
+                counts[p] = counts.get(p, 0) + n
+        pair = min(counts, key=lambda p: (-counts[p], p), default=None)
+        if pair is None or counts[pair] < min_pair:
+            break
+        seqs = [(bpe.merged(ids, {pair: new}), n) for ids, n in seqs]
+        merges.append(pair)
+        new += 1
+    return merges
+
+
+def test_bpe_training_on_any_number_of_words(spark):
+    r = random.Random(4)
+    words = list({"".join(r.choice("abcde") for _ in range(r.randrange(1, 9))): r.randrange(5, 30) for _ in range(60)}.items()) + [("aaaaaaa", 9)]
+    df = spark.createDataFrame(words, "word string, freq long")
+    want = plain_training(words, 256 + 5 + 40, 5)
+    assert len(want) == 40
+    assert bpe.train(df, 256 + 5 + 40, min_pair=5).merges == want
+    assert plain_training(words, 32_000, 5) == bpe.train(df, 32_000, min_pair=5).merges
+    assert bpe.train(df, 256 + 5 + 40, min_pair=5, most_words=3).merges == want
+
+
+def test_bpe_queries_train_as_the_reference(spark, tmp_path):
+    from loomwell.plans import text_queries
+
+    text = " ".join(["often"] * 30 + ["seldom"] * 5 + ["rarely"] * 4)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = [bytes(x.token).decode() for x in text_queries.k1(spark, str(tmp_path)).collect()]
+    assert "Ġoften" in tokens and "Ġseldom" in tokens and not any("rar" in t for t in tokens)
+    assert (bpe.TRAIN_FREQUENCY, bpe.VOCABULARY) == (5, 32_000)
