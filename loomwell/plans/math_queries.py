@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fmt, schedule, vector
-from ..operators import matrix_state, segment
+from ..operators import bpe, matrix_state, segment
 from .core import query, quote, read
 
 R = 9  # decimals compared
@@ -44,6 +44,9 @@ query(
 query("w9_history", f"select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from {EV}) where n <= 10")(
     lambda s, d: events(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n <= 10").select("user_id", "event_id")
 )
+query("w9_history_100", f"select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from {EV}) where n <= 100")(
+    lambda s, d: events(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n <= 100").select("user_id", "event_id")
+)
 query(
     "w10_steepest",
     f"""select user_id, round(pow(1.1, case when n < 3 then n // 2 else best end) * 1e-5 / case when n < 3 then 1 else 10 end, 12) as lr from
@@ -175,6 +178,10 @@ def k5(spark, d):
 query("k7_context_trim", "select conv_id, list(turn order by turn)[-4:] as tail from conversations group by conv_id")(
     lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t")).select("conv_id", F.slice("t", -F.least(F.size("t"), F.lit(4)), F.lit(4)).alias("tail"))
 )
+BYTES = "list_concat(list_concat([258], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda z: ('0x' || z)::integer)), [259])"
+query("k7_context_512", f"select doc_id, {BYTES}[-512:] as context from documents")(
+    lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.array(F.lit(258)), bpe.byte_ids(F.col("text")), F.array(F.lit(259))).alias("t")).select("doc_id", F.slice("t", -F.least(F.size("t"), F.lit(512)), F.lit(512)).alias("context"))
+)
 
 # --- schedules, sizes, formats, records ----------------------------------------------------------
 

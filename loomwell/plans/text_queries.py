@@ -169,6 +169,11 @@ query("o2_worst_files", f"select doc_id, score, issues from {FILE_SQL} order by
 query("s22_quality_report", f"select doc_id, printf('%.1f', score) || chr(9) || doc_id || chr(9) || issues as line from {FILE_SQL} where score >= 50")(
     lambda s, d: files(s, d).filter(F.col("score") >= quality.APPROVED).select("doc_id", F.concat_ws("\t", fmt.fixed(F.col("score"), 1), F.col("doc_id").cast("string"), "issues").alias("line"))
 )
+# the whole ranking, as the audit report lists it; the two queries above are cuts of it
+query("o2_ranked_files", f"select doc_id, score, issues from {FILE_SQL} order by score, doc_id")(lambda s, d: files(s, d).select("doc_id", "score", "issues").orderBy("score", "doc_id"))
+query("s22_ranked_report", f"select doc_id, printf('%.1f', score) || chr(9) || doc_id || chr(9) || issues as line from {FILE_SQL} order by score, doc_id")(
+    lambda s, d: files(s, d).orderBy("score", "doc_id").select("doc_id", F.concat_ws("\t", fmt.fixed(F.col("score"), 1), F.col("doc_id").cast("string"), "issues").alias("line"))
+)
 
 WIDE = quality.WIDE_OK
 LINE_SQL = rf"""

@@ -60,3 +60,12 @@ def test_scans_are_pruned(spark):
     plan = plans.queries()["g8_approval_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "lang" not in plan.split("ReadSchema")[1]
     assert spark.range(1).select(window_count(F.lit(33), 16)).first()[0] == 1
+
+
+def test_rankings_and_histories_are_whole(spark):
+    made, n = entry.queries(), spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = made["o2_ranked_files"](spark, SF).collect()
+    assert len(rows) == n > 20 and rows == sorted(rows, key=lambda r: (r.score, r.doc_id))
+    assert [r.doc_id for r in made["s22_ranked_report"](spark, SF).collect()] == [r.doc_id for r in rows]
+    assert max(len(r.context) for r in made["k7_context_512"](spark, SF).collect()) == 512
+    assert made["w9_history_100"](spark, SF).count() > made["w9_history"](spark, SF).count()
