@@ -6,31 +6,23 @@ fingerprint is 1 if more than half of the shingles' XXH64 values (seed 42; furth
 use the seeds 43, 44, ...) have bit b.  Repeated shingles count each time, unless `distinct` asks for sets.  No words: all zero.
 
 Links.  Two texts link if their fingerprints differ in `radius` bits or fewer.  Equal
-fingerprints are collapsed first, so exact copies cost nothing.  Distinct fingerprints meet in
-buckets:
-  * radius < blocks: the fingerprint is cut into `blocks` blocks and a bucket key is the content
-    of `blocks - radius` of them.  Two fingerprints within the radius agree in at least that many
-    blocks, so no link is lost (exact).
-  * wide radius: `sampled_keys` draws sets of bits; of the pairs within the radius a share that the
-    caller chose agrees in one of them, whatever the number of rows.
-Inside a bucket, planes of bits are compared with carry-save counters (bitslice.py).  A bucket
-of more than BUCKET_ROWS rows is dealt out as pairs of chunks, each its own task group; a group
-gives tree edges only, one fewer than its rows at most.  Components are found by
-components.connected_components.
-
-With `similarity` a tree edge can be refused by the check on the texts, and links that the tree
-left out then count.  `open_links` compares the buckets again and gives every link between rows of
-different verified classes; jaccard.py asks these too.
+fingerprints are collapsed first, so exact copies cost nothing.  A fingerprint is cut into `blocks`
+blocks and a bucket key is the content of `blocks - radius` of them: two fingerprints within the
+radius agree in at least that many blocks, so no link is lost (exact).  Inside a bucket, planes of
+bits are compared with carry-save counters (bitslice.py).  A bucket of more than BUCKET_ROWS rows is
+dealt out as pairs of chunks, each its own task group; a group gives tree edges only, one fewer than
+its rows at most.  Components are found by components.connected_components.
+
+The pipeline's near-duplicates (sets of shingles, a similarity instead of a radius) are in neardup.py.
 
 Null text is empty; empty texts link to each other.  Rows with a null doc_id are returned, take
-part in links, and never name a component unless no other member has an id (then it is null).
+part in links and bridge others, and never name a component: it is null only if no member has an id.
 Repeated rows are returned as often as they come in.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +33,11 @@ from pyspark.sql import functions as F
 from . import bitslice
 from .common import cut, slices
 from .components import connected_components
-from .jaccard import alike_components
 from .shingle import shingles
 
 SEED = 42
 #: Rows of a bucket that one task group holds; larger buckets are compared chunk by chunk.
 BUCKET_ROWS = 4096
-#: One open link in so many is asked before the others, so that classes join first.
-SHARE = 32
 #: Rows gathered before small buckets are compared together.
 BATCH_ROWS = 1 << 16
 #: The list of large buckets is broadcast up to this many.
@@ -96,35 +85,6 @@ def block_keys(radius: int, words: int = 1, blocks: int = 4) -> list[list[int]]:
     return [sum(c, []) for c in itertools.combinations(parts, blocks - radius)]
 
 
-def met(bits: int, count: int, total: int, differing: float, radius: int) -> float:
-    """Share of pairs within the radius that agree in one of `count` sets of `bits` of the `total` bits.
-
-    Each bit of a pair differs with probability `differing`; the mean is over the distances up to
-    the radius, not at the mean distance."""
-    radius = min(radius, total)
-    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    share = [math.exp(log(total, d) + d * math.log(differing) + (total - d) * math.log1p(-differing)) for d in range(radius + 1)]
-    agree = [math.exp(log(total - d, bits) - log(total, bits)) if total - d >= bits else 0.0 for d in range(radius + 1)]
-    return sum(p * (1 - (1 - q) ** count) for p, q in zip(share, agree)) / sum(share)
-
-
-def sampled_keys(rows: int, words: int, differing: float, radius: int, missed: float = 0.005) -> list[list[int]]:
-    """Random bit sets such that of the pairs whose bits differ with probability `differing`, and
-    that are within the radius, a share of 1 - missed agrees in one.  Their length follows the
-    number of rows, so that unlike fingerprints meet in a bounded number of buckets; their number
-    follows the length, so that the share is the same for every number of rows."""
-    bits = max(16, math.ceil(math.log2(max(2, rows))))
-    count = 1
-    while met(bits, count, 64 * words, differing, radius) < 1 - missed:
-        count *= 2
-    low = count // 2
-    while count - low > 1:
-        mid = (low + count) // 2
-        low, count = (low, mid) if met(bits, mid, 64 * words, differing, radius) >= 1 - missed else (mid, count)
-    draw = np.random.default_rng(7)
-    return [sorted(map(int, draw.choice(words * 64, bits, replace=False))) for _ in range(count)]
-
-
 def _key_rows(sets: list[list[int]]):
     def run(batches):
         for part in slices(batches, 4096):
@@ -166,10 +126,9 @@ def _compare(radius: int):
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs))
             if len(a):
-                apart = bitslice.distances(prints, a, b)
                 a, b = node[a], node[b]
-                found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["a", "b", "d"])
+                found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     def run(batches):
         held, rows = [], 0
@@ -199,69 +158,9 @@ def _compare(radius: int):
     return run
 
 
-def _compare_open(radius: int, share: int, shares: int):
-    """Sorted rows (k, key, i, j, node, print, label) -> the links between labels that are in the share."""
-
-    def flush(group: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray):
-        new = np.ones(len(group), bool)
-        new[1:] = (group[1:] != group[:-1]).any(axis=1)
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(group))
-        size = ends - starts
-        small = (size > 1) & (size <= bitslice.SMALL)
-        if small.any():
-            at = np.flatnonzero(np.repeat(small, size))
-            e2 = np.cumsum(size[small])
-            a, b = bitslice.near_neighbours(prints[at], e2 - size[small], e2, radius)
-            a, b = at[a], at[b]
-            other = label[a] != label[b]
-            yield from give(node[a[other]], node[b[other]])
-        for s, e in zip(starts[size > bitslice.SMALL], ends[size > bitslice.SMALL]):
-            for a, b in bitslice.crossing(prints[s:e], label[s:e], radius):
-                yield from give(node[s + a], node[s + b])
-
-    def give(a: np.ndarray, b: np.ndarray):
-        found = np.stack([np.minimum(a, b), np.maximum(a, b)])
-        found = np.unique(found[:, share_of(found[0], found[1], shares) == share], axis=1)
-        if found.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1)
-            prints = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
-            held.append((group, batch.column(4).to_numpy(zero_copy_only=False), prints, batch.column(6).to_numpy(zero_copy_only=False)))
-            rows += batch.num_rows
-            if rows < BATCH_ROWS:
-                continue
-            whole = [np.concatenate(x) for x in zip(*held)]
-            last = np.flatnonzero((whole[0] != whole[0][-1]).any(axis=1))
-            end = int(last[-1]) + 1 if len(last) else 0
-            if end:
-                yield from flush(*(x[:end] for x in whole))
-            held = [tuple(x[end:].copy() for x in whole)]
-            rows = len(held[0][0])
-        if rows:
-            yield from flush(*(np.concatenate(x) for x in zip(*held)))
-
-    return run
-
-
-def share_of(a: np.ndarray, b: np.ndarray, shares: int) -> np.ndarray:
-    """A number below `shares` for each pair: 0 for one pair in SHARE, the last for the rest."""
-    if shares == 1:
-        return np.zeros(len(a), np.int64)
-    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    return np.where((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32) < np.uint64((1 << 32) // SHARE), 0, shares - 1)
-
-
 def _bucket_rows(prints: DataFrame, sets: list[list[int]]) -> DataFrame:
-    """(k, key, i, j, node, print, further columns) in sorted groups."""
-    more = prints.columns[2:]
-    rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>" + "".join(f", {c} long" for c in more))
+    """(k, key, i, j, node, print) in sorted groups."""
+    rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>")
     # buckets above BUCKET_ROWS: at most one for each BUCKET_ROWS rows
     load = cut(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS))
     if load.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
@@ -269,44 +168,24 @@ def _bucket_rows(prints: DataFrame, sets: list[list[int]]) -> DataFrame:
     chunks = F.coalesce(F.ceil(F.col("n") / F.lit(BUCKET_ROWS)).cast("int"), F.lit(1))
     rows = rows.join(load, ["k", "key"], "left").withColumn("c", chunks)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print", *more)
+    rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "print")
     return rows.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j")
 
 
 def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
-    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b, d differing bits) of their links."""
-    return _bucket_rows(prints, sets).mapInArrow(_compare(radius), "a long, b long, d long")
-
-
-def open_links(prints: DataFrame, sets: list[list[int]], radius: int, share: int, shares: int) -> DataFrame:
-    """Fingerprints (node, print, label long) -> distinct links (a, b) between labels: one share of `shares`, together all."""
-    return _bucket_rows(prints, sets).mapInArrow(_compare_open(radius, share, shares), "a long, b long").distinct()
-
+    """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b) of their links."""
+    return _bucket_rows(prints, sets).mapInArrow(_compare(radius), "a long, b long")
 
-def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, differing: float | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
-    """(doc_id, print, component_id) of every row.
 
-    differing: mean share of differing bits for which sampled keys are laid out; None: exact keys.
-    distinct: fingerprints of shingle sets, so that a line repeated inside a text weighs once.
-    similarity: links are kept only if the sets of shingles are that alike (jaccard.py); equal prints always link.
-    """
+def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, distinct: bool = False) -> DataFrame:
+    """(doc_id, print, component_id) of every row; distinct: fingerprints of shingle sets."""
     prints = cut(fingerprints(docs, size, words, distinct))
-    different = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
-    named = different.filter("node is not null")
-    if differing is None:
-        sets = block_keys(radius, words)
-    else:
-        sets = sampled_keys(named.count(), words, differing, radius)
-    edges = links(named.select("node", "print"), sets, radius)
-    if similarity is None:
-        roots = connected_components(edges)
-    else:
-
-        def further(labels: DataFrame, share: int, shares: int) -> DataFrame:
-            return open_links(named.join(labels, "node").select("node", "print", "label"), sets, radius, share, shares)
-
-        roots = alike_components(docs.select(F.col("doc_id").alias("node"), "text"), edges, size, similarity, further)
-    classed = different.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
+    # nodes have numbers of their own, so prints that only null ids have take part as well
+    different = cut(prints.groupBy("print").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connected_components(links(different.select("node", "print"), block_keys(radius, words), radius))
+    rooted = different.join(roots, "node", "left").select("print", "low", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    classed = rooted.join(named, "root").select("print", "component_id")
     return prints.join(classed, "print").select("doc_id", "print", "component_id")
 
 

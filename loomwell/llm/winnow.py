@@ -8,15 +8,15 @@ kept.  Two equal stretches of SPAN words hold the same run of hashes and therefo
 least value, so each shared window shares a fingerprint.  Steps:
  1. Fingerprints of documents (distinct for each text) meet those of the benchmark; what is left
     are the texts with a possible hit.
- 2. In those, every GRAM-word hash that is a benchmark fingerprint gives (item, diagonal); along
-    the diagonal the hit is extended word by word, and every window that agrees in full counts.
- 3. Covered word positions and items are united for each text.
+ 2. In those, every GRAM-word run whose hash is a benchmark fingerprint is an anchor.  An anchor is
+    extended to the windows around it, at most GUARD, and each such window is compared, as its
+    words, with the windows of the benchmark.  A row holds one window, never a whole text.
+ 3. Covered word positions are united for each text, and so are the items of its distinct windows.
 Items shorter than SPAN words are looked up by a hash of the whole item; only item lengths that
-occur in the benchmark are hashed.
+occur in the benchmark are hashed.  All steps are linear in the words of texts and items.
 
-The benchmark side is broadcast only if it has at most BROADCAST_ROWS fingerprints (counted
-first); otherwise it is a shuffled join, with the benchmark's rows salted SALT times so that a
-frequent fingerprint does not meet in one task.  The same check governs the list of hit texts.
+A side of a join is broadcast only if it was counted and has at most BROADCAST_ROWS rows and
+BROADCAST_BYTES bytes; otherwise the join is a shuffle, salted where one key can be frequent.
 Texts are identified by two hashes and their length, so copies are examined once.
 
 Null text has no words and no hits.  Repeated rows, null ids and empty texts are returned like
@@ -31,12 +31,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_name
 
 SPAN, GRAM = 10, 5
 GUARD = SPAN - GRAM + 1
-#: A side of a join is broadcast up to this many rows (24 to 32 bytes each).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SALT = 16
 
 #: Words of lower-cased text.
@@ -72,87 +71,98 @@ def text_key(text: Column) -> list[Column]:
 KEY = ["k1", "k2", "k3"]
 
 
-def _small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _small(df: DataFrame, *wide: str) -> bool:
+    """Whether df, already cut, may be broadcast; wide: its columns of no fixed size."""
+    size = sum([F.coalesce(F.octet_length(c), F.lit(0)) for c in wide], F.lit(32))
+    got = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return got[0] <= BROADCAST_ROWS and got[1] <= BROADCAST_BYTES
 
 
-def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str, small: bool, salt: bool) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str, small: bool, spread: str | None = None) -> DataFrame:
+    """Join; spread: a column of the left side that deals a frequent key out to SALT tasks."""
     if small:
         return left.join(F.broadcast(right), on, how)
-    if not salt:
+    if spread is None:
         return left.join(right, on, how)
-    left = left.withColumn("salt", F.pmod(F.col("k1"), F.lit(SALT)).cast("int"))
+    left = left.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
     right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     return left.join(right, [*on, "salt"], how).drop("salt")
 
 
-def meet(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a list of hit texts, broadcast if it is small."""
-    right = cut(right)
-    return _meet(left, right, on, how, _small(right), False)
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Hit texts only: (k1, k2, k3, hit array<int> of word positions from 0, items array<string>)."""
-    return _hits(docs, benchmark)[0]
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Distinct (win, item): each window of an item, its words joined by one space."""
+    n = F.least(F.size("iw"), F.lit(SPAN))
+    wins = F.transform(F.sequence(F.lit(1), F.size("iw") - n + 1), lambda i: F.array_join(F.slice("iw", i, n), " "))
+    return items.select(F.col("item_id").cast("string").alias("item"), F.explode(F.array_distinct(wins)).alias("win")).distinct()
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, *kept: str) -> tuple[DataFrame, DataFrame]:
-    """The hits, and for every row (*kept, k1, k2, k3, n_words) from the same pass over the texts."""
+    """Of each hit text (k1, k2, k3, n_hit, items); and of every row (*kept, k1, k2, k3, n_words), from the same pass."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("iw")).distinct()
-    items = cut(items.filter(F.size("iw") > 0).withColumn("grams", _grams(F.col("iw"), GRAM)))
+    items = cut(items.filter(F.size("iw") > 0))
+    # at most SPAN - 1 values
     lengths = [r[0] for r in items.filter(F.size("iw") < SPAN).select(F.size("iw").alias("n")).distinct().collect()]
-    keep = _least(F.col("grams"))
-    marks = items.filter(F.size("iw") >= SPAN).select("item_id", "iw", "grams", keep.alias("keep"))
-    marks = marks.select("item_id", "iw", "keep", F.posexplode("grams").alias("q", "g")).filter("array_contains(keep, g)").select("g", "q", "item_id")
+    prints = items.filter(F.size("iw") >= SPAN).select(_grams(F.col("iw"), GRAM).alias("grams")).select(F.explode(_least(F.col("grams"))).alias("g"))
     for n in lengths:
-        whole = items.filter(F.size("iw") == n).select(F.explode(_grams(F.col("iw"), n)).alias("g"), F.lit(0).alias("q"), "item_id")
-        marks = marks.union(whole)
-    marks = cut(marks.distinct())
-    few = _small(marks)
-    prints = marks.select("g").distinct()
+        prints = prints.union(items.filter(F.size("iw") == n).select(F.explode(_grams(F.col("iw"), n)).alias("g")))
+    prints = cut(prints.distinct())
+    few = _small(prints)
+    of_items = cut(_item_windows(items))
+    windows = cut(of_items.select("win").distinct())
+    few_windows = _small(windows, "win")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     words = docs.select(*kept, *text_key(text), words_of(text).alias("w")).withColumn("g", _grams(F.col("w"), GRAM))
     short = [F.array_distinct(_grams(F.col("w"), n)) for n in lengths]
     # the texts are cut into words and hashed once; the fingerprints stay in the shared folder
     seen = cut(words.select(*kept, *KEY, F.size("w").cast("long").alias("n_words"), F.concat(_least(F.col("g")), *short).alias("g")))
-    found = seen.select(*KEY, F.explode("g").alias("g"))
-    hot = cut(_meet(found, prints, ["g"], "left_semi", few, True).select(KEY).distinct())
+    hot = cut(_meet(seen.select(*KEY, F.explode("g").alias("g")), prints, ["g"], "left_semi", few, "k1").select(KEY).distinct())
 
     texts = docs.filter("text is not null").select("text", *text_key(F.col("text")))
-    hit_texts = _meet(texts, hot, KEY, "left_semi", _small(hot), False).dropDuplicates(KEY)
+    hit_texts = _meet(texts, hot, KEY, "left_semi", _small(hot)).dropDuplicates(KEY)
     hit_words = cut(hit_texts.select(*KEY, words_of(F.col("text")).alias("w")))
-    anchors = hit_words.select(*KEY, F.posexplode(_grams(F.col("w"), GRAM)).alias("p", "g"))
+    anchors = hit_words.select(*KEY, F.posexplode(_grams(F.col("w"), GRAM)).alias("p", "g"), F.lit(SPAN).alias("n"))
     for n in lengths:
-        anchors = anchors.union(hit_words.select(*KEY, F.posexplode(_grams(F.col("w"), n)).alias("p", "g")))
-    lines = _meet(anchors, marks, ["g"], "inner", few, True).select(*KEY, "item_id", (F.col("p") - F.col("q")).alias("d")).distinct()
-    lines = lines.join(hit_words, KEY)
-    lines = _meet(lines, items.select("item_id", "iw"), ["item_id"], "inner", few, False)
-    at = lambda j: F.col("d") + j
-    lines = lines.select(
-        *KEY, "item_id", "d",
-        F.least(F.size("iw"), F.lit(SPAN)).alias("n"),
-        F.zip_with("iw", F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda j: F.when(at(j) >= 0, F.get(F.col("w"), at(j)))), lambda a, b: F.coalesce(a == b, F.lit(False))).alias("same"),
-    )
-    starts = F.filter(F.sequence(F.lit(1), F.size("same") - F.col("n") + 1), lambda q: F.forall(F.slice(F.col("same"), q, F.col("n")), lambda x: x))
-    lines = lines.select(*KEY, "item_id", "d", "n", starts.alias("starts")).filter(F.size("starts") > 0)
-    covered = F.flatten(F.transform("starts", lambda q: F.sequence(F.col("d") + q - 1, F.col("d") + q + F.col("n") - 2)))
-    hits = lines.select(*KEY, F.array_distinct(covered).alias("hit"), F.col("item_id").cast("string").alias("item")).groupBy(KEY).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.collect_set("item")).alias("items")
-    )
-    return hits, seen.drop("g")
+        anchors = anchors.union(hit_words.select(*KEY, F.posexplode(_grams(F.col("w"), n)).alias("p", "g"), F.lit(n).alias("n")))
+    anchors = _meet(anchors, prints, ["g"], "left_semi", few, "p").groupBy(KEY).agg(F.collect_set(F.struct("n", "p")).alias("anchors"))
+
+    def around(a: Column) -> Column:
+        low, high = F.greatest(a["p"] - (GUARD - 1), F.lit(0)), F.least(a["p"], F.size("w") - SPAN)
+        whole = F.array(F.struct(a["n"].alias("n"), a["p"].alias("at")))
+        near = F.transform(F.sequence(low, high), lambda i: F.struct(a["n"].alias("n"), i.alias("at")))
+        none = F.array().cast("array<struct<n:int,at:int>>")
+        return F.when(a["n"] < SPAN, whole).when(low <= high, near).otherwise(none)
+
+    places = F.array_distinct(F.flatten(F.transform("anchors", around)))
+    tried = hit_words.join(anchors, KEY).select(*KEY, "w", places.alias("places"))
+    tried = tried.select(*KEY, F.explode(F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("win")))).alias("x"))
+    found = cut(_meet(tried.select(*KEY, "x.at", "x.n", "x.win"), windows, ["win"], "left_semi", few_windows, "k1"))
+    covered = found.groupBy(KEY).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    covered = covered.select(*KEY, F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))).alias("n_hit"))
+    named = _meet(found.select(*KEY, "win").distinct(), of_items, ["win"], "inner", _small(of_items, "win", "item"), "k1")
+    named = named.groupBy(KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return cut(covered.join(named, KEY)), seen.drop("g")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows without a hit word, with all their columns."""
+    names = [fresh_name(docs, "hit_" + k) for k in KEY]
+    hits = cut(_hits(docs, benchmark)[0].select(*[F.col(k).alias(n) for k, n in zip(KEY, names)]))
+    keyed = docs.withColumns(dict(zip(names, text_key(F.coalesce("text", F.lit(""))))))
+    return _meet(keyed, hits, names, "left_anti", _small(hits)).select(*docs.columns)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items array<string>, contaminated) of every row."""
-    hits, rows = _hits(docs, benchmark, "doc_id")
-    n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
+    hits, rows = _hits(docs.select("doc_id", "text"), benchmark, "doc_id")
+    items = hits.select(F.sum(F.coalesce(F.octet_length(F.array_join("items", ",")), F.lit(0)))).first()[0] or 0
     none = F.array().cast("array<string>")
-    return rows.join(hits.select(*KEY, F.col("hit"), F.col("items")), KEY, "left").select(
+    # copies of one text carry one key: where the hits are many, doc_id deals them out
+    joined = _meet(rows, hits, KEY, "left", items <= BROADCAST_BYTES and _small(hits), "doc_id")
+    return joined.select(
         "doc_id", "n_words",
-        F.when(F.col("hit").isNull(), F.lit(0)).otherwise(n_hit).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), F.lit(0)).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"),
-        F.col("hit").isNotNull().alias("contaminated"),
+        F.col("items").isNotNull().alias("contaminated"),
     )

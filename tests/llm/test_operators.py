@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwell.llm import bitslice, bpechunk, chatfmt, components, htmltext, jaccard, ordermin, pii, segments, simhash, subdedup, tokencount, toxicity, winnow
+from loomwell.llm.shingle import shingles as shingle_list
+from loomwell.llm import bitslice, bpechunk, chatfmt, components, htmltext, neardup, ordermin, pii, segments, simhash, subdedup, tokencount, toxicity, winnow
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, print string"
@@ -150,21 +151,16 @@ def test_simhash_classes(spark, awkward, empty):
     prints = [brute_print(t) for t in texts]
     assert [out[i].print[0] & (2**64 - 1) for i in range(len(texts))] == prints
     assert [out[i].component_id for i in range(len(texts))] == brute_classes(prints, 2)
+    nulls = simhash.near_duplicates(spark.createDataFrame(rows([texts[0], texts[1], "unlike", "unlike"], [None, 7, None, None]), DOC)).collect()
+    assert sorted(x.component_id or -1 for x in nulls) == ([-1, -1, 7, 7] if bin(prints[0] ^ prints[1]).count("1") <= 2 else [-1, -1, -1, 7])
     odd = simhash.near_duplicates(awkward).collect()
     assert len(odd) == 13
     assert {x.component_id for x in odd if x.doc_id in (0, 1, 2)} == {0}
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_repeated_lines_weigh_once_in_sets():
-    line = "one line that both texts repeat "
-    a, b = ((prose(k, 60, 5000) + " " + line * 60).encode() for k in (1, 2))
-    differ = lambda **x: sum(bin(int(p ^ q)).count("1") for p, q in zip(simhash.fingerprint(a, 5, 4, **x), simhash.fingerprint(b, 5, 4, **x)))
-    assert differ() < 48 < differ(distinct=True)
-
-
 def brute_alike(texts, size=5, similarity=0.8):
-    sets = [set(simhash.shingles(t.encode(), size)) for t in texts]
+    sets = [set(shingle_list(t.encode(), size)) for t in texts]
     least = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -174,34 +170,60 @@ def brute_alike(texts, size=5, similarity=0.8):
     return least
 
 
-@pytest.mark.parametrize("rounds,per_key", [(2, 1000), (1, 3), (0, 1)])
-def test_links_are_verified_on_texts(spark, empty, monkeypatch, rounds, per_key):
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "EDGES_PER_KEY", per_key)
-    monkeypatch.setattr(jaccard, "WORTH", 1)
-    r = random.Random(5)
-    texts = ["", "a b", "A B"]
-    for k in range(6):
-        words = prose(k, 120, 3000).split()
-        for _ in range(8):
-            copy = list(words)
-            for _ in range(r.randrange(6)):
-                copy[r.randrange(120)] = "CHANGED"
-            texts.append(" ".join(copy))
-    docs = spark.createDataFrame(rows(texts), DOC).select(F.col("doc_id").alias("node"), "text")
-    pairs = [(a, b, r.randrange(9)) for b in range(len(texts)) for a in range(b)]  # every pair, right or not
-    edges = spark.createDataFrame(pairs + pairs[:50], "a long, b long, d long")
-    got = {x.node: x.root for x in jaccard.alike_components(docs.union(docs), edges, 5, 0.8).collect()}
-    assert [got.get(i, i) for i in range(len(texts))] == brute_alike(texts)
-    assert jaccard.alike_components(empty.select(F.col("doc_id").alias("node"), "text"), edges.limit(0), 5, 0.8).count() == 0
-
-
-def test_unlike_texts_of_near_prints_stay_apart(spark):
-    words = prose(1, 300, 9000).split()
-    half = words[:225] + prose(2, 75, 9000).split()  # similarity 0.6
-    docs = spark.createDataFrame(rows([" ".join(words), " ".join(half), " ".join(words[:-9])]), DOC)
-    out = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, 5, 4, 120, 0.1516, distinct=True, similarity=0.8).collect()}
-    assert out == {0: 0, 1: 1, 2: 0}
+def family(seed, copies, words=120, changes=8):
+    """Near copies of one text, some alike and some not."""
+    r = random.Random(seed)
+    whole = prose(seed, words, 3000).split()
+    for _ in range(copies):
+        copy = list(whole)
+        for _ in range(r.randrange(changes)):
+            copy[r.randrange(words)] = f"changed{r.randrange(4)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("chunk_rows,chunk_bytes", [(1024, 1 << 24), (9, 9000)])
+def test_near_duplicates_equal_brute_force(spark, awkward, empty, monkeypatch, chunk_rows, chunk_bytes):
+    monkeypatch.setattr(neardup, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(neardup, "HEADS", 2)
+    texts = ["", "a b", "A B", "   ", *family(1, 60), *family(2, 60, changes=14), *[t for k in range(3, 9) for t in family(k, 6)]]
+    texts += [prose(77, 200, 3000) + " " + prose(78, 50, 3000), prose(77, 200, 3000) + " " + prose(79, 50, 3000)]  # 0.65
+    docs = spark.createDataFrame(rows(texts), DOC)
+    out = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs).collect()}
+    want = brute_alike(texts)
+    assert [out[i] for i in range(len(texts))] == want
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == set(want)
+    odd = neardup.near_duplicates(awkward).collect()
+    assert len(odd) == 13 and {x.component_id for x in odd if x.doc_id in (0, 1, 2)} == {0} and {x.component_id for x in odd if x.doc_id in (4, 5, 6, 7)} == {4, 5}
+    assert [x.component_id for x in odd if x.doc_id is None] == [None]
+    assert sorted(x.doc_id if x.doc_id is not None else -1 for x in neardup.keep_first(awkward).collect()) == [-1, 0, 3, 4, 5, 8, 9, 10]
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_first(empty).count() == 0
+
+
+def test_near_duplicates_wide_rows_and_small_joins(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    texts = [t for k in range(4) for t in family(k, 12)]
+    out = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows(texts), DOC)).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_alike(texts)
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    data = [(5, a, 1), (5, b, 2), (9, b, 3), (9, b, 3), (9, c, 4), (None, c, 5), (None, prose(4, 50), 6), (None, prose(4, 50), 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, near_id long").selectExpr("*", "1 near_k1", "'x' near_k2", "2 as hit_k1", "2 as nth", "map('a', 1) as near_nth")
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id or -1, x.text) for x in kept.collect()) == sorted([(5, a), (5, b), (9, c), (-1, prose(4, 50))])
+    clean = winnow.keep_clean(docs, spark.createDataFrame([(1, b)], "item_id long, text string"))
+    assert clean.columns == docs.columns and {x.text for x in clean.collect()} == {a, c, prose(4, 50)}
+
+
+def test_common_counts():
+    r = random.Random(1)
+    sets = [np.array(sorted(r.sample(range(9000), r.randrange(0, 6000))), np.uint32) for _ in range(9)]
+    got = neardup.common_counts(sets)
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(9) for j in range(9) if i != j)
 
 
 def test_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
@@ -400,6 +422,17 @@ def brute_hits(texts, items):
     return out
 
 
+def test_one_common_run_of_words(spark):
+    """A run of GRAM words of the benchmark 100,000 times in one text, and in many texts."""
+    item = prose(1, 14, 90000)
+    gram = " ".join(item.split()[4:9])
+    texts = [" ".join([gram] * 100_000), " ".join([gram + f" u{k}" for k in range(300)]), gram + " " + item, item.upper() * 2]
+    texts += [f"{gram} v{k}" for k in range(300)]
+    bench = spark.createDataFrame([(1, item), (2, gram + " " + prose(2, 9))], "item_id long, text string")
+    out = {r.doc_id: r for r in winnow.decontaminate(spark.createDataFrame(rows(texts), DOC), bench).collect()}
+    assert [(out[i].n_words, out[i].n_hit, out[i].n_items, out[i]["items"]) for i in range(len(texts))] == brute_hits(texts, [(1, item), (2, gram + " " + prose(2, 9))])
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_decontamination(spark, awkward, empty, monkeypatch, small):
     if not small:
@@ -505,39 +538,28 @@ def test_chat(spark):
     assert chatfmt.read_back(chatfmt.format_windows(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 48])
-def test_refused_links_do_not_hide_alike_texts(spark, monkeypatch, bucket_rows):
-    """A family at mutual similarity 0.74, each text with a partner at 0.83: partners stay together wherever their prints meet."""
-    monkeypatch.setattr(simhash, "sampled_keys", lambda *a, **b: [[]])  # one bucket of all
-    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket_rows)
+def test_refused_links_do_not_hide_alike_texts(spark):
+    """A family at mutual similarity 0.74, each text with a partner at 0.83: partners stay together."""
     common, texts = prose(1, 600, 90000), []
     for k in range(50):
         own = prose(100 + k, 100, 90000).split()
         texts += [" ".join([common, *own]), " ".join([common, *own[:35], prose(900 + k, 65, 90000)])]
     r = random.Random(1)
     r.shuffle(texts)
-    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
-    prints = np.stack([simhash.fingerprint(t.encode(), 5, 4, True) for t in texts])
-    meant = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if jaccard.alike(sets[i], sets[j], 0.8) and bitslice.distances(prints, np.array([i]), np.array([j]))[0] <= 53:
-                low, high = sorted((meant[i], meant[j]))
-                meant = [low if x == high else x for x in meant]
-    assert 50 <= len(set(meant)) < 60
-    out = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows(texts), DOC), 5, 4, 53, 0.1516, distinct=True, similarity=0.8).collect()}
-    assert [out[i] for i in range(len(texts))] == meant
-
-
-def test_key_recall_does_not_depend_on_the_rows():
-    total, differing, radius = 256, math.acos(1.6 / 1.8) / math.pi, 53
-    chance = [math.comb(total, d) * differing**d * (1 - differing) ** (total - d) for d in range(radius + 1)]
-    for n in (10, 40_000, 1_000_000, 100_000_000):
-        sets = simhash.sampled_keys(n, 4, differing, radius)
-        bits = len(sets[0])
-        agree = [math.comb(total - d, bits) / math.comb(total, bits) for d in range(radius + 1)]
-        found = sum(p * (1 - (1 - q) ** len(sets)) for p, q in zip(chance, agree))
-        assert 0.988 <= found <= 0.9885
+    out = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows(texts), DOC)).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_alike(texts)
+
+
+def test_share_of_like_pairs_that_are_compared():
+    """Keys and radius at similarity 0.8, as counted over drawn pairs of sets."""
+    draw = np.random.default_rng(5)
+    radius, met, near = neardup.radius_of(0.8), 0, 0
+    for _ in range(1000):
+        h = draw.integers(0, 1 << 63, 500, dtype=np.uint64)
+        a, b = np.unique(h[:450]), np.unique(h[50:])  # 400 of 500
+        met += bool((neardup.band_keys(a) == neardup.band_keys(b)).any())
+        near += int(np.bitwise_count(neardup.print_of(a) ^ neardup.print_of(b)).sum()) <= radius
+    assert met >= 990 and near >= 995
 
 
 def test_html_without_article_keeps_all_containers():

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from loomwell.llm import common, pii, queries, simhash, toxicity
+from loomwell.llm import common, pii, queries, toxicity
+from loomwell.llm.shingle import shingles as shingle_list
 from loomwell.session import ship
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +51,7 @@ def test_pipeline_stages(spark):
     assert all(t in first and first[t] == i for i, t in kept.items())  # one of each group of copies
 
     def shingles(t):
-        return set(simhash.shingles(t.encode(), 5))
+        return set(shingle_list(t.encode(), 5))
 
     whole = {i: shingles(t) for i, t in texts}
     unlike = {i for i, s in whole.items() if all(i == j or len(s & o) < 0.8 * len(s | o) for j, o in whole.items())}
