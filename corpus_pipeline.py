@@ -2,36 +2,31 @@
 
 Stages, each on all that the one before kept:
  1. toxicity: rows whose text is predicted toxic go.
- 2. SimHash near-dedup: of each group of like documents the one with the smallest doc_id stays.
-    Like means: sets of five-word shingles with a Jaccard similarity of 0.8 or more, directly or through
-    others.  Candidates are texts whose 256-bit fingerprints of these sets differ in RADIUS bits or fewer,
-    the distance at that similarity with room for chance (see README.md).
+ 2. SimHash near-dedup: of each class of like documents one stays, the one with the smallest doc_id
+    (then by a hash of the text; rows of equal doc_id and text are one).  Like means: sets of
+    five-word shingles with a Jaccard similarity of 0.8 or more, directly or through others; each
+    link is checked on the sets (llm/neardup.py).  Rows are told apart by doc_id and text, so unlike
+    texts under one doc_id all stay.
  3. benchmark decontamination: rows that hold a benchmark window go.
  4. PII: spans are masked in the text.
  5. BPE: token ids of every text.
 
 Null texts are empty texts (kept through stage 1, one of them stays in stage 2).  A null doc_id
-takes part in stage 2 under a number made from the text, above all real ids.  Empty tables pass
-through.  Extra columns are kept up to stage 4.
+comes after all others.  Empty tables pass through.  Extra columns, whatever their names, are kept up
+to stage 4.  A stage's table is deleted once the next one is written; the last stays in the shared folder.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import bpechunk, pii, simhash, toxicity, winnow
-from loomwell.llm.common import ensure_checkpoint_dir, table
+from loomwell.llm import bpechunk, neardup, pii, toxicity, winnow
+from loomwell.llm.common import delete_folder, shared_folder, table
 from loomwell.llm.queries import tokenizer_path
 from loomwell.session import ship
 
-SHINGLE, PRINT_WORDS, SIMILARITY = 5, 4, 0.8
-#: Share of bits in which texts of that similarity differ: the angle between their shingle sets.
-DIFFERING = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-#: Mean distance at that similarity plus 2.5 standard deviations.
-RADIUS = round(64 * PRINT_WORDS * DIFFERING + 2.5 * math.sqrt(64 * PRINT_WORDS * DIFFERING * (1 - DIFFERING)))
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +36,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    made = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), made))
-    groups = simhash.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), SHINGLE, PRINT_WORDS, RADIUS, DIFFERING, distinct=True, similarity=SIMILARITY)
-    heads = groups.select(F.col("component_id").alias("__key")).distinct()
-    kept = keyed.join(heads, "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
-    return kept.withColumn("__nth", nth).filter("__nth = 1").select(docs.columns)
+    return neardup.keep_first(docs, SHINGLE, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = winnow.find_hits(docs, table(ship(spark), sf_dir, "benchmark")).select(winnow.KEY)
-    keyed = docs.select("*", *winnow.text_key(F.coalesce("text", F.lit(""))))
-    return winnow.meet(keyed, hits, winnow.KEY, "left_anti").select(docs.columns)
+    return winnow.keep_clean(docs, table(ship(spark), sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,12 +67,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written as Parquet in the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    folder = sc._jsc.sc().getCheckpointDir().get()
-    work = f"{folder}/pipeline-{sc._jvm.java.util.UUID.randomUUID()}"
-    docs = table(spark, sf_dir, "documents")
+    work = shared_folder(spark, "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{work}/{k}-{name}")
-        docs = spark.read.parquet(f"{work}/{k}-{name}")
+        made = f"{work}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(made)
+        docs = spark.read.parquet(made)
+        if before is not None:
+            delete_folder(spark, before)
+        before = made
     return docs
