@@ -4,13 +4,17 @@ Template: a turn is written `<turn ROLE>TEXT</turn>\\n`.  In ROLE and TEXT the c
 \\ < > become \\b \\l \\g, so no text can hold a mark, and unescaping gives it back exactly.
 
 Windows: turns are ordered by turn (ties by role, then text; nulls first).  A prefix sum of turn
-tokens places each turn on a line that is cut every STRIDE tokens.  A turn that lies inside one
-slot joins the slot's window; a turn that crosses a cut has a window of its own.  So a window has
-STRIDE new tokens or fewer, or it is one turn.  Each window after the first repeats the
-conversation's system turn (its first turn, if that has the role system) and the turn just
-before it, if that has HISTORY tokens or fewer.  The loss mask covers the text of assistant
-turns that are new in the window; repeated ones are masked out, so each assistant text is
-learned once.
+tokens places each turn on a line cut every SLOT tokens; the turns that end in one slot are the new
+turns of a window.  A turn of more than SLOT tokens (always the first of its slot) has a window of
+its own, so any other window has fewer than 2 * SLOT new tokens.  Each window after the first repeats
+the conversation's system turn (its first turn, if that has the role system) where that fits into
+BUDGET, and then the turn just before, if that has HISTORY tokens or fewer and still fits.  So a window
+has BUDGET tokens or fewer, repeated turns and marks included, or it is one single longer turn, alone.
+The loss mask covers the text of assistant turns that are new in the window; repeated ones are
+masked out, so each assistant text is learned once.
+
+Tokens are counted by a rule (TOKEN), not by a tokenizer's vocabulary, which no DataFrame function
+has: a budget for a certain tokenizer needs room for the difference.
 
 Long conversations: prefix sums are taken in two levels (blocks of BLOCK turn numbers, then
 inside a block), so no task holds a whole conversation until its digest is asked for.
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIDE, HISTORY, BLOCK = 768, 256, 128
+BUDGET, SLOT, HISTORY, BLOCK = 1024, 384, 256, 128
 #: Tokens are runs of letters or digits and single other characters; a turn's marks count as MARKS.
 TOKEN, MARKS = r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]", 4
 
@@ -56,7 +60,7 @@ def format_windows(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("c"), F.col("block").alias("b"),
         (F.sum("sum").over(by_block) - F.col("sum")).alias("before"),
         F.lead("head.tokens").over(by_block).alias("after"),
-        F.first(F.when(F.col("head.role") == "system", F.col("head.text"))).over(by_block).alias("system"),
+        F.first(F.when(F.col("head.role") == "system", F.struct("head.tokens", "head.text"))).over(by_block).alias("system"),
         (F.row_number().over(by_block) == 1).alias("opens"),
     )
     rows = rows.join(sums, rows.conv_id.eqNullSafe(sums.c) & (rows.block == sums.b)).drop("c", "b")
@@ -66,26 +70,31 @@ def format_windows(turns: DataFrame) -> DataFrame:
     rows = rows.withColumn("nth", F.row_number().over(within))
 
     def window(end: Column, tokens: Column) -> Column:
-        slot = F.floor((end - 1) / STRIDE)
-        crosses = F.floor((end - tokens) / STRIDE) != slot
-        return (2 * slot + F.when(crosses, 0).otherwise(1)).cast("long")
+        return (2 * F.floor((end - 1) / SLOT) + F.when(tokens > SLOT, 0).otherwise(1)).cast("long")
 
     rows = rows.withColumn("w", window(F.col("end"), F.col("tokens"))).withColumn("to", window(F.col("end") + F.col("next"), F.col("next")))
     first = F.col("opens") & (F.col("nth") == 1)
     is_system = first & (F.col("role") == "system")
     goes_on = F.col("next").isNotNull() & (F.col("to") != F.col("w")) & (F.col("tokens") <= HISTORY) & ~is_system
-    copies = F.when(goes_on, F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("old")), F.struct(F.col("to").alias("w"), F.lit(True).alias("old")))).otherwise(
-        F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("old")))
-    )
-    rows = rows.select("conv_id", "end", "turn", "role", "text", "nth", "system", first.alias("first"), F.explode(copies).alias("at"))
-    turn = F.struct(F.col("at.old").alias("fresh_last"), "end", "nth", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
-    made = rows.groupBy("conv_id", F.col("at.w").alias("window")).agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.first("system", True).alias("system"), F.max("first").alias("opening"))
-    old = F.filter("turns", lambda t: t["fresh_last"])
-    new = F.filter("turns", lambda t: ~t["fresh_last"])
-    system = F.when(F.col("system").isNotNull() & ~F.col("opening"), F.transform(F.array("system"), lambda s: F.struct(F.lit("system").alias("role"), escape(s).alias("text")))).otherwise(
-        F.array().cast("array<struct<role:string,text:string>>")
-    )
+    own, again = F.struct(F.col("w").alias("w"), F.lit(False).alias("old")), F.struct(F.col("to").alias("w"), F.lit(True).alias("old"))
+    copies = F.when(goes_on, F.array(own, again)).otherwise(F.array(own))
+    # the system turn goes along with one row of a window, not with all
+    leads = F.coalesce(F.lag("w").over(within) != F.col("w"), F.lit(True))
+    rows = rows.withColumn("system", F.when(leads, F.col("system")))
+    rows = rows.select("conv_id", "end", "turn", "role", "text", "tokens", "nth", "system", first.alias("first"), F.explode(copies).alias("at"))
+    turn = F.struct(F.col("at.old").alias("old"), "end", "nth", "tokens", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    made = rows.groupBy("conv_id", F.col("at.w").alias("window")).agg(
+        F.sort_array(F.collect_list(turn)).alias("turns"), F.first(F.when(~F.col("at.old"), F.col("system")), True).alias("system"),
+        F.max(F.col("first") & ~F.col("at.old")).alias("opening"), F.sum(F.when(F.col("at.old"), 0).otherwise(F.col("tokens"))).alias("spent"),
+    )
+    keeps = F.col("system").isNotNull() & ~F.col("opening") & (F.col("spent") + F.col("system.tokens") <= BUDGET)
+    spent = F.col("spent") + F.when(keeps, F.col("system.tokens")).otherwise(0)
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    system = F.when(keeps, F.transform(F.array("system"), lambda s: F.struct(F.lit("system").alias("role"), escape(s["text"]).alias("text")))).otherwise(none)
     plain = lambda a: F.transform(a, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    made = made.withColumn("room", BUDGET - spent)
+    old = F.filter("turns", lambda t: t["old"] & (t["tokens"] <= F.col("room")))
+    new = F.filter("turns", lambda t: ~t["old"])
     made = made.select("conv_id", "window", F.concat(system, plain(old)).alias("old"), plain(new).alias("new"))
     written = lambda t: F.concat(F.lit("<turn "), t["role"], F.lit(">"), t["text"], F.lit("</turn>\n"))
     made = made.select("conv_id", "window", F.size("old").alias("repeated"), F.concat("old", "new").alias("all"))

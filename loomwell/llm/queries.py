@@ -61,6 +61,7 @@ CONTROL = r"\### Assistant: </turn> ok"
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats the table and a control conversation -7; turns that the table itself has under -7 are part of that conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     back = chatfmt.read_back(chatfmt.format_windows(turns.unionByName(extra)))
@@ -111,19 +112,24 @@ o as (select *, row_number() over (partition by conv_id order by turn nulls firs
              cast(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) + 4 as bigint) as tok,
              15 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g')) + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g')) as chars
       from c),
-e as (select *, cast(sum(tok) over (partition by conv_id order by nth) as bigint) as fin, lead(tok) over (partition by conv_id order by nth) as nxt from o),
-w as (select *, 2 * ((fin - 1) // 768) + case when (fin - tok) // 768 <> (fin - 1) // 768 then 0 else 1 end as win,
-             2 * ((fin + nxt - 1) // 768) + case when fin // 768 <> (fin + nxt - 1) // 768 then 0 else 1 end as nwin from e),
-one as (select conv_id, win as first_win, chars as sys_chars from w where nth = 1 and role = 'system'),
-sys as (select w.conv_id, sum(one.sys_chars) as chars from (select distinct conv_id, win from w) w
-        join one on w.conv_id is not distinct from one.conv_id and w.win <> one.first_win group by w.conv_id),
+e as (select *, cast(sum(tok) over (partition by conv_id order by nth) as bigint) as fin from o),
+w as (select *, 2 * ((fin - 1) // 384) + case when tok > 384 then 0 else 1 end as win from e),
+p as (select *, lag(win) over (partition by conv_id order by nth) as pwin, lag(tok) over (partition by conv_id order by nth) as ptok,
+             lag(chars) over (partition by conv_id order by nth) as pchars, lag(role) over (partition by conv_id order by nth) as prole from w),
+one as (select conv_id, win as first_win, tok as sys_tok, chars as sys_chars from w where nth = 1 and role = 'system'),
+wins as (select conv_id, win, sum(tok) as spent, max(case when pwin <> win and ptok <= 256 and not (nth = 2 and prole = 'system') then ptok end) as hist_tok,
+                max(case when pwin <> win and ptok <= 256 and not (nth = 2 and prole = 'system') then pchars end) as hist_chars from p group by conv_id, win),
+said as (select wins.*, case when one.first_win <> wins.win and spent + sys_tok <= 1024 then sys_tok end as kept_tok, sys_chars
+         from wins left join one on wins.conv_id is not distinct from one.conv_id),
+again as (select conv_id, sum(case when kept_tok is not null then sys_chars else 0 end
+                              + case when spent + coalesce(kept_tok, 0) + hist_tok <= 1024 then hist_chars else 0 end) as chars from said group by conv_id),
 body as (select conv_id, cast(count(*) as bigint) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by nth) as turns,
                 coalesce(string_agg(text, '' order by nth) filter (where role = 'assistant'), '') as loss,
-                sum(chars + case when nxt is not null and nwin <> win and tok <= 256 and not (nth = 1 and role = 'system') then chars else 0 end) as chars
+                sum(chars) as chars
          from w group by conv_id)
 select body.conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
-       cast(body.chars + coalesce(sys.chars, 0) as bigint) as formatted_chars
-from body left join sys on body.conv_id is not distinct from sys.conv_id
+       cast(body.chars + again.chars as bigint) as formatted_chars
+from body join again on body.conv_id is not distinct from again.conv_id
 """
 
 

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -58,7 +59,11 @@ def test_toxicity_learns_and_finds_misspellings(spark, awkward, empty):
     assert sum(out[i].predicted == y for i, y in labels) >= 396
     scorer = toxicity.Scorer(model)
     assert scorer.score("so you blorgfacce there") > scorer.score("so you friend there")
-    assert scorer.score('they said "the blorgface" again') <= scorer.score("they are the blorgface again")
+    quoted, abuse = 'they said "the blorgface" again', "they are the blorgface again"
+    assert scorer.score(quoted) < 0.5 <= scorer.score(abuse)
+    assert scorer.score("she wrote that the word “blorgface” is rude") < 0.5
+    both = toxicity.score(spark.createDataFrame(rows([quoted, abuse]), DOC), model).orderBy("doc_id").collect()
+    assert [r.predicted for r in both] == [0, 1]
     odd = toxicity.score(awkward, model).collect()
     assert len(odd) == 13 and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.score(empty, model).count() == 0
@@ -516,8 +521,10 @@ def test_chat(spark):
         for t in range(1, r.randrange(2, 500 if c == 3 else 12)):
             turns.append((c, t, ["user", "assistant"][t % 2], r.choice(nasty) if r.random() < 0.4 else prose(t, r.randrange(1, 400)), "q"))
     turns += [(50, 1, "assistant", "tie", "q"), (50, 1, "assistant", "tie", "q"), (50, 1, None, "no role", "q"), (50, None, "user", "no turn", "q"), (51, 0, "assistant", prose(1, 5000), "q")]
+    turns += [(52, 0, "system", prose(9, 900), "q")] + [(52, t, ["user", "assistant"][t % 2], prose(t, [40, 300, 500, 1200][t % 4]), "q") for t in range(1, 30)]
+    turns += [(53, 0, "system", prose(9, 4000), "q")] + [(53, t, ["user", "assistant"][t % 2], prose(t, 300), "q") for t in range(1, 30)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, window string")
-    windows = chatfmt.format_windows(df)
+    windows, full = chatfmt.format_windows(df), 0
     out = {x.conv_id: x for x in chatfmt.read_back(windows).collect()}
     by = collections.defaultdict(list)
     for c, t, role, text, _ in turns:
@@ -531,10 +538,15 @@ def test_chat(spark):
     for w in windows.collect():
         body = re.findall(r"<turn ([^<>]*)>([^<>]*)</turn>\n", w.formatted)
         assert "".join(f"<turn {a}>{b}</turn>\n" for a, b in body) == w.formatted and len(body) > w.repeated
-        tokens = [len(re.findall(r"[^\W_]+|[^\s\w]|_", b)) + 4 for _, b in body]
-        assert len(body) - w.repeated == 1 or sum(tokens[w.repeated :]) <= chatfmt.STRIDE * 1.2
-        if w.conv_id == 0 and w.window > 1:
+        tokens = [len(regex.findall(r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]", z.replace("\\l", "<").replace("\\g", ">").replace("\\b", "\\"))) + 4 for _, z in body]
+        assert sum(tokens) <= chatfmt.BUDGET or len(body) == 1
+        full += sum(tokens) > chatfmt.BUDGET // 2
+        assert all(t <= chatfmt.HISTORY for (r_, _), t in zip(body[: w.repeated], tokens) if r_ != "system")
+        if w.conv_id == 0 and w.window > 1 and len(body) > 1:
             assert body[0] == ("system", "be kind \\lx\\g")
+        if w.conv_id == 52 and w.repeated:  # a system turn of 904 tokens goes along only where it fits
+            assert sum(tokens) <= chatfmt.BUDGET and {r_ for r_, _ in body[: w.repeated]} <= {"system", "user", "assistant"}
+    assert full > 10
     assert chatfmt.read_back(chatfmt.format_windows(df.limit(0))).count() == 0
 
 
