@@ -3,12 +3,13 @@
 A page is read once into blocks: the text between two block-level marks, under the path of open
 block-level elements (with their class and id words).  Inline elements do not change the path.
 For each path the text length and the punctuation per block make its ratio, lowered by the share
-of link text; ratios are smoothed over neighbouring blocks of the page, both are fused as a
-geometric mean, and paths are thresholded against the best one.  Paths through an element that is
-never article text (navigation, forms, scripts, ..., or such a class, id or role) score zero.
-Everything else inside the containers of the paths above the threshold (an article or main element,
-or the parent of the blocks), and inside the element that these share if that is less than the
-page, is content too, so short paragraphs and headings of an article stay.
+of link text, and PRIOR times that for a path through an element that is rarely article text
+(navigation, forms, ..., or such a class, id or role).  Ratios are smoothed over neighbouring blocks
+of the page, both are fused as a geometric mean, and a path is content if it reaches THRESHOLD times
+the best.  What a path below the threshold shares with one above is its container: short paragraphs
+and headings inside the containers of the content paths (an article or main element, or the parent
+of the blocks, or the element that all of these share if that is less than the page) are content
+too, unless their path is a link list or has the prior against it.
 
 Blocks come out in page order, character references decoded, white space turned into one space,
 trimmed, joined by one \\n; nothing else is dropped or capped.
@@ -33,6 +34,8 @@ from .common import slices
 
 #: Share of the best fused ratio that makes a path content.
 THRESHOLD = 0.35
+#: What an element that is rarely article text leaves of a ratio.
+PRIOR = 0.001
 #: Blocks on either side that smooth a ratio.
 REACH = 2
 
@@ -44,7 +47,7 @@ BLOCK = set(
     "caption blockquote pre form fieldset figure figcaption address details summary hr head center hgroup menu dialog legend button label option".split()
 )
 NEVER = set("nav header footer aside form head button fieldset dialog menu label option legend".split())
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that speak against article text.
 ASIDE = set(
     "ad ads advert adverts advertisement adbox adsense sponsor sponsored sponsors promo promotion banner sidebar aside nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr "
@@ -65,7 +68,7 @@ WORD = re.compile(r"[A-Za-z]+")
 
 
 def _mark(name: str, attrs: str) -> tuple[str, bool]:
-    """Path element and whether it can never hold article text."""
+    """Path element and whether it is rarely article text (by element, class, id or role) or hidden."""
     label, never = name, name in NEVER
     if attrs and "=" in attrs or "hidden" in attrs:
         for key, a, b, c in ATTR.findall(attrs):
@@ -184,15 +187,13 @@ def _wide(path: tuple) -> bool:
     return not path or path[-1].split(".")[0] in ("body", "html")
 
 
-def _chosen(rows: list) -> list[bool]:
-    """Which blocks are content."""
-    if not rows:
-        return []
+def _ratios(rows: list) -> tuple[dict, dict, dict]:
+    """Of each path: ratio (with the prior), fused ratio, and (blocks, characters, share of links, off)."""
     sums: dict = {}
-    for path, text, linked, never in rows:
-        n, size, marks, links, off = sums.get(path, (0, 0, 0, 0, False))
-        sums[path] = (n + 1, size + len(text), marks + len(PUNCTUATION.findall(text)), links + linked, off or never)
-    ratio = {p: 0.0 if off or 2 * links > size else size / n * (1 + marks / n) * (1 - links / size) for p, (n, size, marks, links, off) in sums.items()}
+    for path, text, linked, off in rows:
+        n, size, marks, links, was = sums.get(path, (0, 0, 0, 0, False))
+        sums[path] = (n + 1, size + len(text), marks + len(PUNCTUATION.findall(text)), links + linked, was or off)
+    ratio = {p: size / n * (1 + marks / n) * (1 - links / size) * (PRIOR if off else 1) for p, (n, size, marks, links, off) in sums.items()}
     line = [ratio[r[0]] for r in rows]
     weights = [math.exp(-(d * d) / 2) for d in range(-REACH, REACH + 1)]
     smooth = [sum(w * line[i + d] for d, w in zip(range(-REACH, REACH + 1), weights) if 0 <= i + d < len(line)) / sum(weights) for i in range(len(line))]
@@ -200,12 +201,21 @@ def _chosen(rows: list) -> list[bool]:
     for r, s in zip(rows, smooth):
         near.setdefault(r[0], []).append(s)
     fused = {p: math.sqrt(ratio[p] * sum(near[p]) / len(near[p])) for p in ratio}
+    return ratio, fused, {p: (n, size, links / size, off) for p, (n, size, _, links, off) in sums.items()}
+
+
+def _chosen(rows: list) -> list[bool]:
+    """Which blocks are content."""
+    if not rows:
+        return []
+    _, fused, sums = _ratios(rows)
     # the best path is the one with most text behind its ratio
-    best = max(fused, key=lambda p: (fused[p] * math.sqrt(sums[p][1])))
+    best = max(fused, key=lambda p: fused[p] * math.sqrt(sums[p][1]))
     if fused[best] <= 0:
         return [False] * len(rows)
-    passed = {p for p, f in fused.items() if ratio[p] > 0 and f >= THRESHOLD * fused[best]} | {best}
-    holders = {_holder(p) for p in passed}
+    linked = {p: 2 * share > 1 for p, (_, _, share, _) in sums.items()}
+    passed = {p for p, f in fused.items() if f >= THRESHOLD * fused[best] and not linked[p]} | {best}
+    holders = {_holder(p) for p in passed if not sums[p][3]}
     # what the containers share holds them all, unless that is the page
     shared = os.path.commonprefix(list(holders))
     if not _wide(shared):
@@ -213,10 +223,10 @@ def _chosen(rows: list) -> list[bool]:
     plain = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")
     keep = {}
     for p in fused:
-        if ratio[p] <= 0:
-            keep[p] = False
-        elif p in passed:
+        if p in passed:
             keep[p] = True
+        elif sums[p][3] or linked[p]:
+            keep[p] = False
         else:
             inside = any(not _wide(p[:k]) and p[:k] in holders for k in range(len(p) + 1))
             keep[p] = inside or bool(p) and p[-1].split(".")[0] in plain and p[:-1] in holders
