@@ -129,7 +129,7 @@ def valid_line(line: Column) -> Column:
     """Cheapest tests first; `line` may carry blanks around it."""
     t = trim(line)
     letters, visible = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}")), F.regexp_count(t, F.lit(r"[^\p{IsWhite_Space}]"))
-    quoted = "|".join(re.escape(m).replace("\\-", "-").replace("\\ ", " ").replace("/", "/") for m in MARKERS)
+    quoted = "|".join(re.escape(m).replace("\\-", "-").replace("\\ ", " ") for m in MARKERS)
     return (
         (F.octet_length(t) >= MIN_BYTES)
         & ~t.rlike(quoted)

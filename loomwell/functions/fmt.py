@@ -18,6 +18,23 @@ def fixed(x: Column, decimals: int) -> Column:
     return F.replace(F.format_number(x.cast("double"), decimals), F.lit(","), F.lit(""))
 
 
+def scientific(x: Column, decimals: int) -> Column:
+    """As 3.00e-4: no zeros before the exponent, no plus sign."""
+    written = F.format_string(f"%.{decimals}e", x.cast("double"))
+    return F.regexp_replace(F.regexp_replace(written, r"e\+?(-?)0*([0-9]+)$", "e$1$2"), r"e-0$", "e0")
+
+
+#: The largest 32-bit float, written out: what a best loss is before any loss.
+FLOAT_MAX, FLOAT_MAX_TEXT = 340282346638528859811704183484516925440.0, "340282346638528859811704183484516925440.0000"
+
+
+def training_summary(steps: Column, tokens: Column, epochs: Column, best: Column, best_eval: Column, seconds: Column) -> Column:
+    loss = lambda x: F.when(x >= FLOAT_MAX, FLOAT_MAX_TEXT).otherwise(fixed(x, 4))
+    rate = F.when(seconds > 0, tokens.cast("double") / seconds).otherwise(0.0) / 1000
+    parts = [("Steps: ", steps), (" | Tokens: ", tokens), (" | Epochs: ", epochs), (" | Best Loss: ", loss(best)), (" | Best Eval: ", loss(best_eval)), (" | Time: ", seconds), ("s | ", fixed(rate, 1))]
+    return F.concat(*[x for name, value in parts for x in (F.lit(name), value.cast("string"))], F.lit("K tok/s"))
+
+
 def _scaled(n: Column, units, rest: Column) -> Column:
     out = rest
     for at, decimals, suffix in reversed(units):

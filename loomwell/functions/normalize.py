@@ -9,10 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The letters that follow U+00C3 where UTF-8 was read as Latin-1, in the order in
-# which the pairs are repaired.  A pair stands for the letter 64 places above its second half.
-MOJIBAKE_SECOND = "\u00a1\u00a9\u00ad\u00b3\u00ba\u00a3\u00b5\u00a7\u00a0\u00a2\u00aa\u00ae\u00b4\u00bb\u00bc\u00b1\u0081\u0089\u008d\u0093\u009a\u0083\u0095\u0087"
-MOJIBAKE = [("\u00c3" + c, chr(ord(c) + 64)) for c in MOJIBAKE_SECOND]
+# Letters whose UTF-8 was read as Latin-1 and what they stand for, in the order of repair.
+MOJIBAKE = [
+    ("\u00c3\u00a1", "á"),
+    ("\u00c3\u00a9", "é"),
+    ("\u00c3\u00ad", "í"),
+    ("\u00c3\u00b3", "ó"),
+    ("\u00c3\u00ba", "ú"),
+    ("\u00c3\u00a3", "ã"),
+    ("\u00c3\u00b5", "õ"),
+    ("\u00c3\u00a7", "ç"),
+    ("\u00c3\u00a0", "à"),
+    ("\u00c3\u00a2", "â"),
+    ("\u00c3\u00aa", "ê"),
+    ("\u00c3\u00ae", "î"),
+    ("\u00c3\u00b4", "ô"),
+    ("\u00c3\u00bb", "û"),
+    ("\u00c3\u00bc", "ü"),
+    ("\u00c3\u00b1", "ñ"),
+    ("\u00c3\u0081", "Á"),
+    ("\u00c3\u0089", "É"),
+    ("\u00c3\u008d", "Í"),
+    ("\u00c3\u0093", "Ó"),
+    ("\u00c3\u009a", "Ú"),
+    ("\u00c3\u0083", "Ã"),
+    ("\u00c3\u0095", "Õ"),
+    ("\u00c3\u0087", "Ç"),
+]
 
 # Punctuation and spaces, one to one; two more cases.
 PUNCT_FROM = "\u201c\u201d\u2018\u2019\u00ab\u00bb\u2013\u2014\u00a0\u2002\u2003\u2009\u0092\u0093\u0094\u0096\u0097"

@@ -12,14 +12,19 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, not once for each element that a lambda visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(a: Column, temperature: float = 1.0) -> Column:
-    """Stable; `a` should be a plain column, it is read twice."""
-    e = F.transform(a, lambda x: F.exp((x - F.array_max(a)) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    """Stable; linear in the size of `a`."""
+    e = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp((x - top) / temperature)))
+    return let(e, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def log_sum_exp(a: Column) -> Column:
-    return F.array_max(a) + F.log(total(F.transform(a, lambda x: F.exp(x - F.array_max(a)))))
+    return let(F.array_max(a), lambda top: top + F.log(total(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def cross_entropy(a: Column, target: Column, clamp: float | None = None) -> Column:
@@ -56,6 +61,50 @@ def logit_clamp(a: Column) -> Column:
     return F.transform(a, lambda x: F.greatest(F.least(x, F.lit(CLAMP)), F.lit(-CLAMP)))
 
 
+def finite_or_zero(a: Column) -> Column:
+    """(index, value) of the finite values; (0, 0.0) if there is none."""
+    pairs = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda p: ~F.isnan(p["v"]) & (F.abs(p["v"]) < float("inf")))
+    none = F.array(F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("v")))
+    return let(pairs, lambda p: F.when(F.size(p) > 0, p).otherwise(none))
+
+
+#: The coefficients of the error function's rational approximation 7.1.26 of Abramowitz and Stegun (error below 1.5e-7).
+ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+ERF_T = 0.3275911
+
+
+def erf(x: Column) -> Column:
+    def body(t):
+        poly = F.lit(0.0)
+        for c in reversed(ERF):
+            poly = (poly + c) * t
+        return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+    return let(1 / (1 + ERF_T * F.abs(x)), body)
+
+
+def gelu(x: Column) -> Column:
+    return 0.5 * x * (1 + erf(x / (2**0.5)))
+
+
+def shape_verdict(b: Column, t: Column, c: Column, k: Column, v: Column, w: Column, u: Column) -> Column:
+    """"ok", or what flat buffers of these lengths should be for b x t x c."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    whole = b * t * c
+    flat = text("expected B*T*C = ", whole, ", got k=", k, ", v=", v)
+    return F.when((k != whole) | (v != whole), flat).when((w != c) | (u != c), text("expected C = ", c, ", got w=", w, ", u=", u)).otherwise("ok")
+
+
+def group_norm(a: Column, groups: int, size: int, eps: float = 64e-5) -> Column:
+    """Each of `groups` runs of `size` values less its mean, over the root of its variance plus eps."""
+
+    def norm(g):
+        mean = total(g) / size
+        return let(mean, lambda m: let(F.sqrt(total(F.transform(g, lambda x: (x - m) * (x - m))) / size + eps), lambda s: F.transform(g, lambda x: (x - m) / s)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: let(F.slice(a, i * size + 1, size), norm)))
+
+
 def ema(a: Column, keep: float = 0.99) -> Column:
     """The first value seeds."""
     return F.aggregate(a, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * keep + x * (1 - keep)))

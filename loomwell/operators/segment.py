@@ -24,8 +24,8 @@ def blocks(df: DataFrame, path: str = "path", line_no: str = "line_no", line: st
 
 
 def has_blank_line(content: Column, head: int = 1 << 20) -> Column:
-    """Whether the first MiB holds an empty line: block mode or line mode."""
-    return F.contains(F.substring(content, 1, head), F.lit("\n\n"))
+    """Whether the first MiB (bytes) holds an empty line: block mode or line mode."""
+    return F.contains(F.substring(F.encode(content, "UTF-8"), 1, head), F.lit(b"\n\n"))
 
 
 def replicate(df: DataFrame, weight: str = "weight") -> DataFrame:
@@ -41,8 +41,9 @@ def windows(df: DataFrame, tokens: str, length: int, *keys: str) -> DataFrame:
     """(keys, idx, input, target) of every window of an array of tokens; stride = length."""
     count = window_count(F.size(tokens), length).cast("int")
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = df.withColumn("__w", at).select(*keys, tokens, F.explode("__w").alias("idx"))
-    return rows.select(*keys, "idx", F.slice(tokens, F.col("idx") * length + 1, length).alias("input"), F.slice(tokens, F.col("idx") * length + 2, length).alias("target"))
+    # slices are cut before the rows are made, so no row carries the whole array
+    made = F.transform(at, lambda i: F.struct(i.alias("idx"), F.slice(tokens, i * length + 1, length).alias("input"), F.slice(tokens, i * length + 2, length).alias("target")))
+    return df.select(*keys, F.explode(made).alias("w")).select(*keys, "w.idx", "w.input", "w.target")
 
 
 BUCKETS = 256

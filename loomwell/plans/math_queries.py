@@ -68,7 +68,6 @@ def _stop(acc, x):
     return F.struct(F.when(better, x).otherwise(acc["best"]).alias("best"), bad.alias("bad"), n.alias("n"), F.coalesce(acc["stop"], F.when(bad >= 5, n)).alias("stop"))
 
 
-query("w12_bad_runs")(lambda s, d: series(s, d).select("user_id", F.aggregate("xs", F.struct(F.lit(0).alias("run"), F.lit(0).alias("skips")), lambda a, x: F.struct(F.when(x > 50, F.when(a["run"] + 1 >= 5, 0).otherwise(a["run"] + 1)).otherwise(0).alias("run"), (a["skips"] + F.when((x > 50) & (a["run"] + 1 >= 5), 1).otherwise(0)).alias("skips")))["skips"].alias("skips")))
 query("w14_explosion", f"select event_id from (select event_id, max(case when loss > 10 * f or loss > 1e300 then 1 else 0 end) over (partition by user_id order by event_id) as bad from (select *, first(loss) over (partition by user_id order by event_id) as f from {EV})) where bad = 0")(
     lambda s, d: events(s, d).withColumn("f", F.first("loss").over(by_step())).withColumn("bad", F.max(F.when(F.col("loss") > 10 * F.col("f"), 1).otherwise(0)).over(by_step())).filter("bad = 0").select("event_id")
 )
@@ -119,8 +118,8 @@ query("g15_accuracy", f"select round(avg(case when {TOPI}[1] = y then 1.0::doubl
     lambda s, d: logits(s, d).agg(F.round(F.avg(F.when(vector.argmax(F.col("x")) == F.col("y"), 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.when(F.array_contains(F.transform(vector.top_k(F.col("x"), 5), lambda r: r["i"]), F.col("y")), 1.0).otherwise(0.0)), 6).alias("top5"))
 )
 query("j8_gather", f"select vec_id, x[y + 1] as v from {LG}")(lambda s, d: logits(s, d).select("vec_id", F.get("x", F.col("y")).alias("v")))
-query("j9_embedding_lookup", "select event_id, e.embedding[1]::double as first from events join embeddings e on e.vec_id = event_id % 500")(
-    lambda s, d: events(s, d).select("event_id", (F.col("event_id") % 500).alias("vec_id")).join(read(s, d, "embeddings"), "vec_id").select("event_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+query("j9_embedding_lookup", "select event_id, e.embedding[1]::double as first from events join embeddings e on e.vec_id = event_id % (select count(*) from embeddings)")(
+    lambda s, d: events(s, d).select("event_id", (F.col("event_id") % F.lit(read(s, d, "embeddings").count())).alias("vec_id")).join(read(s, d, "embeddings"), "vec_id").select("event_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
 )
 query("g19_l2", f"select a.vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))), {R}) as dist from {LG} a join {LG} b on b.vec_id = a.vec_id + 1")(
     lambda s, d: logits(s, d).alias("a").join(logits(s, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("z")), "vec_id").select("vec_id", F.round(vector.l2_distance(F.col("x"), F.col("z")), R).alias("dist"))
@@ -135,7 +134,6 @@ query("t21_activations", f"select vec_id, list_transform(x, lambda v: greatest(v
 query("f15_finite", f"select vec_id, len(list_filter(x, lambda v: abs(v) < 0.1)) as n from {LG}")(
     lambda s, d: logits(s, d).select("vec_id", F.size(vector.finite(F.transform("x", lambda v: F.when(F.abs(v) < 0.1, v).otherwise(F.lit(float("nan")))))).cast("long").alias("n"))
 )
-query("f17_well_formed", f"select vec_id, len(x) = 64 as ok from {LG}")(lambda s, d: logits(s, d).select("vec_id", F.forall(F.array("x"), lambda v: F.size(v) == 64).alias("ok")))
 query(
     "r4_categorical",
     f"""select vec_id, coalesce(list_position(list_transform(range(1, 65), lambda i: list_sum(p[1:i]) > u), true), 64) - 1 as token from (select vec_id, p, ('0x' || substr(md5(vec_id::varchar), 1, 8))::bigint / 4294967296.0::double as u from {PROB})""",

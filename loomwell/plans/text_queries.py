@@ -335,14 +335,18 @@ def x3(spark, d):
 def x5(spark, d):
     vocab = vocabulary(spark, d)
     coded = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), vocab, wrap=False)
-    return bpe.decode(coded, bpe.token_table(spark, vocab), "tokens", "doc_id")
+    return bpe.decode(coded, vocab, "tokens", "doc_id")
 
 
 query("x6_byte_encode", f"select doc_id, list_concat(list_concat([258], {BYTES_SQL.format("text")}), [259]) as tokens from documents")(
     lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.array(F.lit(258)), bpe.byte_ids(F.col("text")), F.array(F.lit(259))).alias("tokens"))
 )
-query("x5_decode", f"select doc_id, text as text from documents where text <> ''")(
-    lambda s, d: bpe.decode(read(s, d, "documents").select("doc_id", bpe.byte_ids(F.col("text")).alias("ids")), bpe.token_table(s, bpe.Vocabulary.base()), "ids", "doc_id")
+query("x5_decode", "select doc_id, text as text from documents union all select -1, '' union all select -2, text from documents where doc_id % 10 = 0")(
+    # empty lists and repeated keys come along
+    lambda s, d: bpe.decode(
+        read(s, d, "documents").select("doc_id", "text").union(s.sql("select -1L, ''")).union(read(s, d, "documents").filter("doc_id % 10 = 0").selectExpr("-2L", "text")).select("doc_id", bpe.byte_ids(F.col("text")).alias("ids")),
+        bpe.Vocabulary.base(), "ids", "doc_id",
+    )
 )
 query("x8_base_vocabulary", "select i::integer as id, lpad(printf('%X', i), 2, '0') as token from range(0, 256) t(i) union all select 256 + i, hex(encode(n)) from (values " + ", ".join(f"({i}, {quote(n)})" for i, n in enumerate(bpe.SPECIAL)) + ") s(i, n)")(
     lambda s, d: bpe.token_table(s, bpe.Vocabulary.base()).select("id", F.hex("token").alias("token"))

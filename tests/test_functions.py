@@ -139,7 +139,7 @@ def test_bpe_training(spark, tmp_path):
     assert vocab.decode(ids) == " " + text and not set(ids) & set(vocab.special.values())
     out = bpe.encode(spark.createDataFrame([(1, text)], "i int, text string"), vocab)
     assert out.first().tokens == [vocab.special["[BOS]"], *ids, vocab.special["[EOS]"]]
-    back = bpe.decode(out.select("i", F.array_append("tokens", F.lit(99_999)).alias("t")), bpe.token_table(spark, vocab), "t", "i").first().text
+    back = bpe.decode(out.select("i", F.array_append("tokens", F.lit(99_999)).alias("t")), vocab, "t", "i").first().text
     assert back == "[BOS] " + text + "[EOS]"
 
 
