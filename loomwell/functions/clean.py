@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .normalize import trim
+from .vector import let
 
 # Letters that a broken code page left, and what they stand for.
 CODEPAGE_FROM, CODEPAGE_TO = "ęşŕăčľîđ", "êºàãèçíð"
@@ -115,9 +116,15 @@ def unescape(text: Column) -> Column:
 
 
 def templates(text: Column, rounds: int = ROUNDS) -> Column:
-    for _ in range(rounds):
-        text = apply(apply(text, TEMPLATE), NESTED)
-    return text
+    """Innermost ones first; texts without an opening mark are done at once."""
+
+    def rounds_of(t: Column) -> Column:
+        out = t
+        for _ in range(rounds):
+            out = apply(apply(out, TEMPLATE), NESTED)
+        return F.when(F.contains(t, F.lit("{{")), out).otherwise(t)
+
+    return let(text, rounds_of)
 
 
 def list_items(text: Column) -> Column:
@@ -127,7 +134,10 @@ def list_items(text: Column) -> Column:
 
 def valid_line(line: Column) -> Column:
     """Cheapest tests first; `line` may carry blanks around it."""
-    t = trim(line)
+    return _valid(trim(line))
+
+
+def _valid(t: Column) -> Column:
     letters, visible = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}")), F.regexp_count(t, F.lit(r"[^\p{IsWhite_Space}]"))
     quoted = "|".join(re.escape(m).replace("\\-", "-").replace("\\ ", " ") for m in MARKERS)
     return (
@@ -141,7 +151,7 @@ def valid_line(line: Column) -> Column:
 
 
 def filter_lines(text: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(text, r"\r?\n"), valid_line), trim), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, r"\r?\n"), trim), _valid), "\n")
 
 
 def clean_markup(text: Column, rounds: int = ROUNDS) -> Column:

@@ -43,7 +43,8 @@ PUNCT_TO = "\"\"''\"\"--    '\"\"--"
 ZERO_WIDTH, ELLIPSIS = "\u200b", "\u2026"
 
 CONTROL = r"[\x00-\x08\x0B-\x1F\x7F-\x9F]"
-EDGE = r"(?U)^\s+|\s+\z"
+# The characters of White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -57,9 +58,10 @@ def nfc(text: Column) -> Column:
 
 
 def fix_mojibake(text: Column) -> Column:
+    out = text
     for bad, good in MOJIBAKE:
-        text = F.replace(text, F.lit(bad), F.lit(good))
-    return text
+        out = F.replace(out, F.lit(bad), F.lit(good))
+    return F.when(F.contains(text, F.lit("\u00c3")), out).otherwise(text)
 
 
 def punctuation(text: Column) -> Column:
@@ -76,7 +78,7 @@ def whitespace(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE, "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalize(text: Column, compose: bool = True, mojibake: bool = True) -> Column:

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,13 @@ def ship(spark: SparkSession) -> SparkSession:
         atexit.register(shutil.rmtree, work, True)  # executors may fetch it at any time until then
         _shipped.add(sc.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its scan has fewer tasks than there are cores, else df itself.
+
+    A small file is one task however much work its rows are.  A large table has more tasks than cores
+    and is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
