@@ -10,21 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Rows handled at a time inside a Python worker, so its memory does not follow Spark's batch size.
 SLICE_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared folder; only a session that names none (tests) gets its own."""
+    """Use the session's shared folder; a local session that names none (tests) gets its own, a cluster must name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loomwell-ckpt-")
         atexit.register(shutil.rmtree, named, True)
     sc.setCheckpointDir(named)

@@ -18,6 +18,8 @@ from .common import text_input
 
 #: Bytes of text in a segment, about; it is handled by one Python call.
 SEGMENT_BYTES = 4 << 20
+#: Accuracy of the sketch that bounds come from, at most.
+SKETCH = 1_000_000
 #: A null doc_id comes first.
 NULL_ID = -(1 << 63)
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -33,10 +35,11 @@ class Plan:
     def segment(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, ids, side="right").astype(np.int64)
 
-    def before(self, seg: int) -> int:
-        """The segment whose last row is followed by the first row of `seg`."""
-        filled = sorted(self.first)
-        return filled[filled.index(seg) - 1]
+    def leads(self) -> tuple[np.ndarray, np.ndarray]:
+        """First ids, ascending, and for each the segment whose last row it follows (of the least: the last)."""
+        segs = np.array(sorted(self.first), np.int64)
+        ids = np.array([self.first[s] for s in segs.tolist()], np.int64)
+        return ids, np.roll(segs, 1)
 
 
 def _ids(docs: DataFrame):
@@ -51,7 +54,8 @@ def segment_plan(docs: DataFrame, size: int = SEGMENT_BYTES) -> Plan:
         bounds = np.empty(0, np.int64)
     else:
         at = [i / count for i in range(1, count)]
-        cuts = ids.agg(F.percentile_approx("id", at, 100 * count)).first()[0] or []
+        # the sketch is bounded; with many segments their sizes vary more
+        cuts = ids.agg(F.percentile_approx("id", at, min(100 * count, SKETCH))).first()[0] or []
         bounds = np.unique(np.array(cuts, np.int64))
     plan = Plan(bounds, {}, count, total["b"] or 0)
     first = ids.mapInArrow(_firsts(bounds), "seg long, id long").groupBy("seg").agg(F.min("id").alias("id"))
@@ -85,16 +89,19 @@ def pack(docs: DataFrame, plan: Plan, guests: bool = False) -> DataFrame:
     segment in the segment before (the first segment's in the last)."""
 
     def run(batches):
-        before = {plan.first[s]: plan.before(s) for s in plan.first} if guests else {}
-        leads = np.array(sorted(before), np.int64)
+        leads, before = plan.leads() if guests else (None, None)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             seg = plan.segment(ids)
             for guest in (False, True) if guests else (False,):
-                at = np.flatnonzero(np.isin(ids, leads)) if guest else np.arange(len(ids))
-                to = np.array([before[i] for i in ids[at].tolist()], np.int64) if guest else seg[at]
+                if guest:
+                    place = np.minimum(np.searchsorted(leads, ids), len(leads) - 1)
+                    at = np.flatnonzero(leads[place] == ids)
+                    to = before[place[at]]
+                else:
+                    at, to = np.arange(len(ids)), seg
                 for s in np.unique(to):
                     rows = batch.take(pa.array(at[to == s]))
                     rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, guest))], ["id", "text", "guest"])

@@ -493,12 +493,17 @@ def test_substring_dedup(spark, awkward, empty, monkeypatch):
 def test_fingerprint_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(subdedup, "INDEX_RUNS", 2)
     texts = passages()
-    index = subdedup.FingerprintIndex(spark, str(tmp_path / "index"))
-    got = {}
+    path = str(tmp_path / "index")
+    got, other = {}, subdedup.FingerprintIndex(spark)
     for a in range(0, len(texts), 10):
         batch = rows(texts)[a : a + 10]
+        index = subdedup.FingerprintIndex(spark, path)  # opened again: nothing is kept in the object
+        if a == 20:  # a batch that failed left a folder behind
+            (tmp_path / "index" / f"run-{index.made + 1:08d}").mkdir()
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in index.add(spark.createDataFrame(batch, DOC)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts) and len(index.runs) <= 3
+    assert len(list((tmp_path / "index").glob("run-*"))) <= 6
+    assert other.add(spark.createDataFrame(rows(texts[:3]), DOC)).count() == 3 and other.path != subdedup.FingerprintIndex(spark).path
 
 
 def test_merge_join_verifies():
