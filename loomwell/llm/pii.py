@@ -314,6 +314,7 @@ def train(rows: int = 600, steps: int = 80) -> Field:
             for x in f:
                 seen[x] = seen.get(x, 0) + 1
     index = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n > 1))}
+    seqs.sort(key=lambda s: -len(s[1]))  # at each position the live sequences are the first ones
     k, n = len(LABELS), max(len(y) for _, y in seqs)
     size = np.array([len(y) for _, y in seqs])
     truth = np.zeros((len(seqs), n), np.int64)
@@ -327,6 +328,7 @@ def train(rows: int = 600, steps: int = 80) -> Field:
             feat += ids
     cell, feat = np.array(seq_id) * n + np.array(pos), np.array(feat)
     live = np.arange(n)[None, :] < size[:, None]
+    count = live.sum(axis=0)  # live sequences at each position
     fixed = _forbidden()
     emit, move = np.zeros((len(index), k)), np.zeros((k + 1, k))
     state = [np.zeros_like(x) for x in (emit, emit, move, move)]
@@ -337,18 +339,27 @@ def train(rows: int = 600, steps: int = 80) -> Field:
             e[:, j] = np.bincount(cell, emit[feat, j], len(e))
         e = e.reshape(len(seqs), n, k)
         trans = move + fixed
-        alpha = np.zeros_like(e)
+        step_to = np.exp(trans[:-1])
+
+        def summed(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+            top = x.max(axis=1, keepdims=True)
+            return top + np.log(np.exp(x - top) @ by + 1e-300)
+
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0] + trans[-1]
         for t in range(1, n):
-            alpha[:, t] = np.where(live[:, t, None], _logsum(alpha[:, t - 1, :, None] + trans[None, :-1], 1) + e[:, t], alpha[:, t - 1])
-        total = _logsum(alpha[:, -1], 1)
-        beta = np.zeros_like(e)
+            m = count[t]
+            alpha[:m, t] = summed(alpha[:m, t - 1], step_to) + e[:m, t]
+        last = alpha[np.arange(len(seqs)), size - 1]
+        total = _logsum(last, 1)
         pair = np.zeros((k + 1, k))
         for t in range(n - 2, -1, -1):
-            inner = trans[None, :-1] + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
-            both = np.exp(np.clip(alpha[:, t, :, None] + inner - total[:, None, None], -50, 0)) * live[:, t + 1, None, None]
-            pair[:-1] += both.sum(axis=0)
-            beta[:, t] = np.where(live[:, t + 1, None], _logsum(inner, 2), 0)
+            m = count[t + 1]
+            after = e[:m, t + 1] + beta[:m, t + 1]
+            high, low = alpha[:m, t].max(axis=1), after.max(axis=1)
+            scale = np.exp(high + low - total[:m])[:, None]
+            pair[:-1] += step_to * ((np.exp(alpha[:m, t] - high[:, None]) * scale).T @ np.exp(after - low[:, None]))
+            beta[:m, t] = summed(after, step_to.T)
         prob = np.exp(np.clip(alpha + beta - total[:, None, None], -50, 0)) * live[..., None]
         pair[-1] = prob[:, 0].sum(axis=0)
         gone = (one - prob).reshape(-1, k)
