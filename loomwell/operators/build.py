@@ -60,8 +60,7 @@ def stream_windows(rows: DataFrame, tokens: str, order: str, length: int) -> Dat
     them, whole division, of n tokens.  Rows are placed by prefix sums (segment.stream_positions), cut
     where windows begin, and only the pieces of one window meet.
     """
-    placed = segment.stream_positions(rows.filter(F.size(tokens) > 0), tokens, order)
-    total = placed.agg(F.max(F.col("offset") + F.size(tokens))).first()[0] or 0
+    placed, total = segment.stream_positions(rows.filter(F.size(tokens) > 0), tokens, order)
     count = max(0, (total - length - 1) // length)
     first = F.greatest(F.floor((F.col("offset") - 1) / length), F.lit(0))
     last = F.least(F.floor((F.col("offset") + F.size(tokens) - 1) / length), F.lit(count - 1))

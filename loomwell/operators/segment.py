@@ -71,13 +71,18 @@ def row_numbers(df: DataFrame, name: str, bucket: Column, *order) -> DataFrame:
     return rows.join(F.broadcast(before), "__b").withColumn(name, nth + F.col("__before")).drop("__b", "__before")
 
 
-def stream_positions(df: DataFrame, tokens: str, key: str) -> DataFrame:
-    """Adds the global offset of each row's first token, in the order of a numeric key."""
+def stream_positions(df: DataFrame, tokens: str, key: str) -> tuple[DataFrame, int]:
+    """df with the global offset of each row's first token, in the order of a numeric key, and the number of all tokens."""
     rows = df.withColumn("__b", range_bucket(df, key)).withColumn("__n", F.size(tokens).cast("long"))
-    sums = rows.groupBy("__b").agg(F.sum("__n").alias("__sum"))
-    before = sums.select("__b", (F.sum("__sum").over(Window.orderBy("__b")) - F.col("__sum")).alias("__before"))
+    # one row for each bucket, BUCKETS at most
+    sums = sorted((r[0], r[1]) for r in rows.groupBy("__b").agg(F.sum("__n")).collect())
+    starts, total = [], 0
+    for bucket, n in sums:
+        starts.append((bucket, total))
+        total += n
+    before = df.sparkSession.createDataFrame(starts, "__b int, __before long")
     within = F.sum("__n").over(Window.partitionBy("__b").orderBy(key)) - F.col("__n")
-    return rows.join(F.broadcast(before), "__b").withColumn("offset", within + F.col("__before")).drop("__b", "__n", "__before")
+    return rows.join(F.broadcast(before), "__b").withColumn("offset", within + F.col("__before")).drop("__b", "__n", "__before"), total
 
 
 def split_tail(df: DataFrame, idx: str, total: int, ratio: float) -> DataFrame:
