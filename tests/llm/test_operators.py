@@ -711,3 +711,29 @@ def test_html_without_article_keeps_all_containers():
     assert htmltext.main_text(two).split("\n") == ["One", first.strip(), "Two", second.strip()]
     post = f"<body><div class=menu><p>Go home</p></div><div class=post><h1>Title</h1><p>{intro}</p><div class=text><p>{first}</p></div></div>{note}</body>"
     assert htmltext.main_text(post).split("\n") == ["Title", intro.strip(), first.strip()]
+
+
+def test_values_on_awkward_rows(spark, awkward):
+    """Nulls, empty and long texts, repeated rows, a null id: each operator's values, not only its row count."""
+    import tokenizers
+
+    data = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in awkward.collect()))
+    ids, texts = [i if known else None for known, i, _ in data], [t for _, _, t in data]
+    in_order = lambda df: sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    sizes = [len(tokenizers.Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [(r.doc_id, r.n_tokens) for r in in_order(tokencount.count_tokens(awkward, PATH, 512))] == list(zip(ids, sizes))
+    assert [(r.doc_id, r.n_tokens) for r in in_order(bpechunk.encode(awkward, PATH, keep=False))] == list(zip(ids, sizes))
+    listed = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    digests = [hashlib.sha256(listed(plain_base(t)).encode()).hexdigest() for t in texts]
+    assert [(r.doc_id, r.base_sha256) for r in in_order(pii.find(awkward))] == list(zip(ids, digests))
+    # rows of one id are equal here but for doc_id 8, whose two texts are equal too
+    kept = [(i, *b) for i, b in zip(ids, brute_repeats(texts))]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in subdedup.remove_repeats(awkward).collect()), key=str) == sorted(kept, key=str)
+    prints = [brute_print(t) for t in texts]
+    least = brute_classes(prints, 2)
+    names = [min((i for i, c in zip(ids, least) if c == m and i is not None), default=None) for m in least]
+    got = sorted(((r.doc_id, r.print[0] & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(awkward).collect()), key=str)
+    assert got == sorted(zip(ids, prints, names), key=str)
+    plain = brute_hits(texts, [(1, texts[-1])])
+    out = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in winnow.decontaminate(awkward, spark.createDataFrame([(1, texts[-1])], "item_id long, text string")).collect()), key=str)
+    assert out == sorted([(i, *p[:3]) for i, p in zip(ids, plain)], key=str)

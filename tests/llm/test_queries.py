@@ -71,3 +71,18 @@ def test_pipeline_runs_and_survives_odd_rows(spark, tmp_path):
     spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 2}
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("none", ["documents", "labels", "benchmark"])
+def test_pipeline_on_empty_tables(spark, tmp_path, none):
+    ship(spark)
+    rows = [(k, f"text number {k} of a few " + "word " * k, "en", "s", None) for k in range(5)]
+    tables = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, "a text that no document holds")], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        (df.limit(0) if name == none else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == (set() if none == "documents" else set(range(5)))
