@@ -17,6 +17,7 @@ ISSUES = {
     "short": "Muito curto", "broken": "Encoding quebrado", "few": "Poucas palavras", "unnatural": "Texto não-natural (sem conectivos)", "repetitive": "Repetitivo demais",
     "poor": "Vocabulário pobre", "chopped": "Frases fragmentadas", "endless": "Frases longas demais", "markup": "Markup/Código", "english": "Inglês", "spanish": "Espanhol",
 }
+UNREADABLE = "Erro leitura"
 APPROVED = 50.0
 
 
@@ -61,6 +62,17 @@ def score_files(df, text: str = "text"):
     })
 
 
+def score_contents(df, content: str = "content"):
+    """score_files over the bytes of files; what is not UTF-8 is unreadable: score 0, no bytes."""
+    valid = F.is_valid_utf8(F.col(content).cast("string"))
+    df = df.withColumn("readable", valid).withColumn("text", F.when(valid, F.col(content).cast("string")).otherwise(""))
+    df = score_files(df)
+    return df.withColumns({
+        "bytes": F.when(F.col("readable"), F.col("bytes")).otherwise(0), "score": F.when(F.col("readable"), F.col("score")).otherwise(0.0),
+        "issues": F.when(F.col("readable"), F.col("issues")).otherwise(F.array(F.lit(UNREADABLE))),
+    }).drop("readable")
+
+
 # Fixed values of the line audit: accepted ASCII signs, letters and signs beyond ASCII.
 ASCII_OK = ".,;?!-()\"' "
 WIDE_OK = "áéíóúÁÉÍÓÚâêîôûÂÊÎÔÛãõÃÕçÇàÀüÜ–—…°ªº§"
@@ -70,6 +82,16 @@ CONSONANTS = r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]+"
 DIRTY, FOREIGN_SCORE, KEEP_PERCENT = 0.5, 7.0, 5
 
 
+#: First line of the audit report.
+REPORT_HEAD = "SCORE\tPATH\tISSUES"
+
+
+def report_line(score: Column, path: Column, issues: Column) -> Column:
+    """Score, path in quotes, issues as a bracketed list of quoted ones."""
+    quoted = F.transform(issues, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    return F.concat(fixed(score, 1), F.lit('\t"'), path, F.lit('"\t['), F.array_join(quoted, ", "), F.lit("]"))
+
+
 def audit_line(df, line: str = "line"):
     """Adds score (null if not over DIRTY) and reason."""
     x = F.col(line)

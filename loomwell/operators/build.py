@@ -10,8 +10,8 @@ from ..functions import normalize
 from . import bpe, segment
 
 
-def documents_of(files: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, part, text): blocks of files that hold an empty line, lines of the others, parts numbered from 0.
+def documents_of(files: DataFrame, text: str, *keys: str, blocks: bool = True) -> DataFrame:
+    """(keys, part, text): blocks of files that hold an empty line, lines of the others (of all, without `blocks`), parts from 0.
 
     A block is a run of lines with something on them, joined by line breaks.  No row leaves its file's task.
     """
@@ -25,8 +25,8 @@ def documents_of(files: DataFrame, text: str, *keys: str) -> DataFrame:
         return F.struct(done.alias("done"), F.when(blank, "").otherwise(F.concat(acc["open"], line, F.lit("\n"))).alias("open"))
 
     ended = F.concat(lines, F.array(F.lit("")))
-    blocks = F.aggregate(ended, start, step, lambda acc: acc["done"])
-    parts = F.when(segment.has_blank_line(F.col(text)), blocks).otherwise(lines)
+    runs = F.aggregate(ended, start, step, lambda acc: acc["done"])
+    parts = F.when(segment.has_blank_line(F.col(text)), runs).otherwise(lines) if blocks else lines
     return files.select(*keys, F.posexplode(parts).alias("part", "text"))
 
 
@@ -43,12 +43,12 @@ def encode(docs: DataFrame, vocab: bpe.Vocabulary) -> DataFrame:
     return bpe.encode(docs, vocab).withColumn("n_tokens", F.size("tokens").cast("long"))
 
 
-def build(files: DataFrame, weight: str, vocab: bpe.Vocabulary, least: int, *keys: str, markup: bool = False) -> DataFrame:
+def build(files: DataFrame, weight: str, vocab: bpe.Vocabulary, least: int, *keys: str, markup: bool = False, blocks: bool = True) -> DataFrame:
     """(keys, pass_no, part, tokens, n_tokens): each file's documents once for each pass of its source.
 
     Texts are cut, normalised and encoded once; passes repeat the finished rows.
     """
-    rows = documents_of(files, "text", weight, *keys)
+    rows = documents_of(files, "text", weight, *keys, blocks=blocks)
     rows = encode(flush(rows, least, markup=markup), vocab)
     return segment.replicate(rows, weight).select(*keys, "pass_no", "part", "tokens", "n_tokens")
 

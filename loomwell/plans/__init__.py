@@ -1,6 +1,6 @@
 """Registered queries of the engine."""
 
-from . import build_queries, math_queries, text_queries  # noqa: F401
+from . import build_queries, math_queries, record_queries, text_queries  # noqa: F401
 from .core import ORACLE, QUERIES
 
 

@@ -41,9 +41,6 @@ query(
     "w8_trend",
     f"select event_id, round(case when o is null then 0 else (o - r) / o end, 6) as trend from (select event_id, avg(loss) over (partition by user_id order by event_id rows between 4 preceding and current row) as r, avg(loss) over (partition by user_id order by event_id rows between 9 preceding and 5 preceding) as o from {EV})",
 )(lambda s, d: events(s, d).select("event_id", F.avg("loss").over(by_step().rowsBetween(-4, 0)).alias("r"), F.avg("loss").over(by_step().rowsBetween(-9, -5)).alias("o")).select("event_id", F.round(F.when(F.col("o").isNull(), 0.0).otherwise((F.col("o") - F.col("r")) / F.col("o")), 6).alias("trend")))
-query("w9_history", f"select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from {EV}) where n <= 10")(
-    lambda s, d: events(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n <= 10").select("user_id", "event_id")
-)
 query("w9_history_100", f"select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from {EV}) where n <= 100")(
     lambda s, d: events(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n <= 100").select("user_id", "event_id")
 )
@@ -173,9 +170,6 @@ def k5(spark, d):
     return matrix_state.run(rows.withColumn("w", F.transform("w", lambda x: -F.abs(x))), 2, 4)
 
 
-query("k7_context_trim", "select conv_id, list(turn order by turn)[-4:] as tail from conversations group by conv_id")(
-    lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t")).select("conv_id", F.slice("t", -F.least(F.size("t"), F.lit(4)), F.lit(4)).alias("tail"))
-)
 BYTES = "list_concat(list_concat([258], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda z: ('0x' || z)::integer)), [259])"
 query("k7_context_512", f"select doc_id, {BYTES}[-512:] as context from documents")(
     lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.array(F.lit(258)), bpe.byte_ids(F.col("text")), F.array(F.lit(259))).alias("t")).select("doc_id", F.slice("t", -F.least(F.size("t"), F.lit(512)), F.lit(512)).alias("context"))
@@ -239,12 +233,6 @@ query("y5_throughput", f"select n, l_linenumber, {TP_CASE} as s from {LI}")(lamb
 query("s24_metrics_rows", f"select event_id, concat_ws(',', event_id, printf('%.4f', loss), printf('%.4f', exp(loss / 100)), '', '') as line from {EV}")(
     lambda s, d: events(s, d).select("event_id", F.concat_ws(",", F.col("event_id").cast("string"), fmt.fixed(F.col("loss"), 4), fmt.fixed(F.exp(F.col("loss") / 100), 4), F.lit(""), F.lit("")).alias("line"))
 )
-query("s26_log_lines", f"select event_id, 'step ' || event_id || ' | loss ' || printf('%.3f', loss) as line from {EV} where event_id % 10 = 0")(
-    lambda s, d: events(s, d).filter("event_id % 10 = 0").select("event_id", F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" | loss "), fmt.fixed(F.col("loss"), 3)).alias("line"))
-)
-query("s27_meta", "select event_id, 'step' as k, event_id::varchar as v from events")(
-    lambda s, d: events(s, d).select("event_id", F.explode(F.str_to_map(F.concat(F.lit("step="), F.col("event_id").cast("string")), F.lit("\n"), F.lit("="))).alias("k", "v"))
-)
 query("s28_json", "select event_id, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' as j from events")(
     lambda s, d: read(s, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("j"))
 )

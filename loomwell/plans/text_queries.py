@@ -122,7 +122,6 @@ _text_step(
     "c_clean_full", lambda c: clean.clean(c, entities=False), "text", with_markup,
     "(with a as (select doc_id, " + markup_sql(CODEPAGE_SQL.format("text")) + f" as text from {MARKUP_SQL}) select doc_id, {filter_lines_sql('text')} as text from a)",
 )
-query("c0_5_unescape")(lambda s, d: with_markup(s, d).select("doc_id", clean.unescape(F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, " &lt;a&gt; &#65;").otherwise(" &bad; &lt;"))).alias("text")))
 query(
     "c_html_pages",
     "select page_id, " + step_sql("html", clean.COMMENT, *[a for a in clean.AFTER if a.name in ("c12", "c13", "c14")]) + " as text from pages",
@@ -165,14 +164,10 @@ query("q2_file_quality", f"select * from {FILE_SQL}")(files)
 query("g8_approval_counts", f"select source, count(*) filter (where score >= 50) as approved, count(*) filter (where score < 50) as rejected from {FILE_SQL} group by source")(
     lambda s, d: files(s, d).groupBy("source").agg(F.count_if(F.col("score") >= quality.APPROVED).alias("approved"), F.count_if(F.col("score") < quality.APPROVED).alias("rejected"))
 )
-query("o2_worst_files", f"select doc_id, score, issues from {FILE_SQL} order by score, doc_id limit 20")(lambda s, d: files(s, d).select("doc_id", "score", "issues").orderBy("score", "doc_id").limit(20))
-query("s22_quality_report", f"select doc_id, printf('%.1f', score) || chr(9) || doc_id || chr(9) || issues as line from {FILE_SQL} where score >= 50")(
-    lambda s, d: files(s, d).filter(F.col("score") >= quality.APPROVED).select("doc_id", F.concat_ws("\t", fmt.fixed(F.col("score"), 1), F.col("doc_id").cast("string"), "issues").alias("line"))
-)
-# the whole ranking, as the audit report lists it; the two queries above are cuts of it
+# the whole ranking, as the audit report lists it
 query("o2_ranked_files", f"select doc_id, score, issues from {FILE_SQL} order by score, doc_id")(lambda s, d: files(s, d).select("doc_id", "score", "issues").orderBy("score", "doc_id"))
-query("s22_ranked_report", f"select doc_id, printf('%.1f', score) || chr(9) || doc_id || chr(9) || issues as line from {FILE_SQL} order by score, doc_id")(
-    lambda s, d: files(s, d).orderBy("score", "doc_id").select("doc_id", F.concat_ws("\t", fmt.fixed(F.col("score"), 1), F.col("doc_id").cast("string"), "issues").alias("line"))
+query("s22_ranked_report", f"""select doc_id, printf('%.1f', score) || chr(9) || '"' || doc_id || '.txt"' || chr(9) || case when issues = '' then '[]' else '["' || replace(issues, '; ', '", "') || '"]' end as line from {FILE_SQL} order by score, doc_id""")(
+    lambda s, d: quality.score_files(read(s, d, "documents").select("doc_id", "text")).orderBy("score", "doc_id").select("doc_id", quality.report_line(F.col("score"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.col("issues")).alias("line"))
 )
 
 WIDE = quality.WIDE_OK

@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import errors
+
 
 def _file_system(spark: SparkSession, path: str):
     """The path's Hadoop file system and the path itself: any store that Spark reads."""
@@ -56,7 +58,7 @@ def resolve_dataset(spark: SparkSession, path: str, name: str = "train.bin") ->
         return inside
     if path.endswith(".bin") or name != "train.bin":
         return path
-    raise FileNotFoundError(path)
+    raise errors.KINDS["FileNotFound"](path=path)
 
 
 def whole_files(spark: SparkSession, path: str, invalid: str = "lossy", recursive: bool = False) -> DataFrame:

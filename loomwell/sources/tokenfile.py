@@ -11,6 +11,8 @@ import os
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .. import errors
+
 HEADER, STEP = 8, 1 << 20
 
 
@@ -25,11 +27,11 @@ class TokenReader(DataSourceReader):
         self.path = path
         size = os.path.getsize(path)
         if size < HEADER or (size - HEADER) % 2:
-            raise ValueError(f"{path}: not a token file")
+            raise errors.KINDS["DataCorrupt"](offset=0, reason=f"{path} is not a token file")
         with open(path, "rb") as f:
             self.count = int.from_bytes(f.read(HEADER), "little")
         if self.count != (size - HEADER) // 2:
-            raise ValueError(f"{path}: header says {self.count} tokens, file has {(size - HEADER) // 2}")
+            raise errors.KINDS["DataCorrupt"](offset=0, reason=f"{path}: header says {self.count} tokens, file has {(size - HEADER) // 2}")
 
     def partitions(self):
         return [Range(a, min(STEP, self.count - a)) for a in range(0, self.count, STEP)] or [Range(0, 0)]
