@@ -22,34 +22,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwell.llm import bpechunk, neardup, pii, toxicity, winnow
-from loomwell.llm.common import delete_folder, shared_folder, table
+from loomwell.llm.common import delete_folder, ready, shared_folder, table
 from loomwell.llm.queries import tokenizer_path
-from loomwell.session import ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(ship(spark), sf_dir, "labels"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return neardup.keep_first(docs, SHINGLE, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return winnow.keep_clean(docs, table(ship(spark), sf_dir, "benchmark"))
+    return winnow.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return pii.mask(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return bpechunk.encode(docs, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

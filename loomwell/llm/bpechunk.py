@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_input
+from .common import slices, text_input, trimmed
 from .tokencount import MEMO, library, pieces
 
 #: Bytes under the rolling hash; low bits that must be zero for a cut (chunks of 512 bytes on average).
@@ -180,4 +180,4 @@ def encode(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
 
     schema = "doc_id long, ids array<int>, decoded string" if keep else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = text_input(docs, "doc_id")
-    return rows.select(rows.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return rows.select(rows.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)

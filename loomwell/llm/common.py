@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 
@@ -10,14 +11,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import ship, spread
 
 #: Rows handled at a time inside a Python worker, so its memory does not follow Spark's batch size.
 SLICE_ROWS = 1024
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session keeps Spark's own bound.
+ARROW_KEY, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The package for the workers, and batches of at most ARROW_BYTES: both sides hold several at a time."""
+    if spark.conf.get(ARROW_KEY) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_BYTES)
+    return ship(spark)
+
+
+def trimmed(run):
+    """The function of mapInArrow, after which the worker, kept for later tasks, returns its free memory."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # a C library without it
+
+    return whole
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name in ("documents", "pages") else rows
 
 

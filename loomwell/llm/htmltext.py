@@ -30,7 +30,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, trimmed
 
 #: Share of the best fused ratio that makes a path content.
 THRESHOLD = 0.35
@@ -246,4 +246,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x) for x in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "html").mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")

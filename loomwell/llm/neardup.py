@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import cut, delete_folder, fresh_name, shared_folder, slices
+from .common import cut, delete_folder, fresh_name, shared_folder, slices, trimmed
 from .components import connected_components
 
 WORDS, BANDS, ROWS, FIRST = 2, 12, 4, 4
@@ -151,7 +151,7 @@ def _text_key(text: Column) -> list[Column]:
 def _signed(docs: DataFrame, size: int, narrow: bool) -> DataFrame:
     t1, t2 = _text_key(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.cast("long").alias("t2"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_signatures(size, narrow), "id long, t1 long, t2 long, " + ("s1 long, s2 long" if narrow else _NODE))
+    return rows.mapInArrow(trimmed(_signatures(size, narrow)), "id long, t1 long, t2 long, " + ("s1 long, s2 long" if narrow else _NODE))
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -346,7 +346,7 @@ def _edges(nodes: DataFrame, dealt: DataFrame, radius: int, similarity: float) -
     rows = cut(dealt)
     rows = F.broadcast(rows).join(heavy, "node") if _small(rows) else rows.join(heavy, "node")
     rows = rows.select("key", "i", "j", "node", "label", "print", "grams").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return cut(rows.mapInArrow(_compare(radius, similarity), "a long, b long").distinct())
+    return cut(rows.mapInArrow(trimmed(_compare(radius, similarity)), "a long, b long").distinct())
 
 
 def _roots(nodes: DataFrame, similarity: float) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -447,7 +447,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def mask_text(text: str, spans) -> str:
@@ -478,4 +478,4 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 cols[i] = pa.array([None if t is None else len(t) for t in new], cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

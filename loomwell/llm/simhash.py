@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import cut, slices
+from .common import cut, slices, trimmed
 from .components import connected_components
 from .shingle import shingles
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1, distinct: bool
             offs = pa.array(np.arange(0, len(prints) + 1, words, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(offs, pa.array(prints))], ["doc_id", "print"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, print array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(trimmed(run), "doc_id long, print array<long>")
 
 
 def block_keys(radius: int, words: int = 1, blocks: int = 4) -> list[list[int]]:
@@ -160,7 +160,7 @@ def _compare(radius: int):
 
 def _bucket_rows(prints: DataFrame, sets: list[list[int]]) -> DataFrame:
     """(k, key, i, j, node, print) in sorted groups."""
-    rows = prints.mapInArrow(_key_rows(sets), "k int, key long, node long, print array<long>")
+    rows = prints.mapInArrow(trimmed(_key_rows(sets)), "k int, key long, node long, print array<long>")
     # buckets above BUCKET_ROWS: at most one for each BUCKET_ROWS rows
     load = cut(rows.groupBy("k", "key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS))
     if load.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
@@ -174,7 +174,7 @@ def _bucket_rows(prints: DataFrame, sets: list[list[int]]) -> DataFrame:
 
 def links(prints: DataFrame, sets: list[list[int]], radius: int) -> DataFrame:
     """Distinct fingerprints (node long, print array<long>) -> tree edges (a, b) of their links."""
-    return _bucket_rows(prints, sets).mapInArrow(_compare(radius), "a long, b long")
+    return _bucket_rows(prints, sets).mapInArrow(trimmed(_compare(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int = 2, distinct: bool = False) -> DataFrame:

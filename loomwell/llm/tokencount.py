@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_input
+from .common import slices, text_input, trimmed
 
 #: Distinct pieces remembered by a worker.
 MEMO = 400_000
@@ -116,4 +116,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = text_input(docs, "doc_id").select(F.col("doc_id").cast("long"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trimmed
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
 SUPPORT, SHARE = 4, 0.01
@@ -299,10 +299,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
         if not toxic or not clean:
             return Model(constant=1.0 if toxic else 0.0)
-        pos = rows.filter("toxic = 1").select("text").mapInArrow(_count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        pos = rows.filter("toxic = 1").select("text").mapInArrow(trimmed(_count_terms(None)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         least = max(SUPPORT, math.ceil(SHARE * toxic))
         top = {r["term"]: r["n"] for r in pos.filter(F.col("n") >= least).collect()}  # bounded by the sample and SHARE
-        neg = rows.filter("toxic = 0").select("text").mapInArrow(_count_terms(set(top)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        neg = rows.filter("toxic = 0").select("text").mapInArrow(trimmed(_count_terms(set(top))), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         neg = {r["term"]: r["n"] for r in neg.collect()}  # no more rows than top has
         terms, weight = choose([(t, n, neg.get(t, 0)) for t, n in top.items()], toxic, clean)
         model = Model(terms, weight)
@@ -313,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 found = [(t, int(y)) for text, y in zip(*(c.to_pylist() for c in part.columns)) for t in {t for t, bad, _ in scorer.hits(text) if bad}]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array([y for _, y in found], pa.int32())], ["term", "toxic"])
 
-        seen = rows.select("text", "toxic").mapInArrow(fuzzy, "term int, toxic int").groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
+        seen = rows.select("text", "toxic").mapInArrow(trimmed(fuzzy), "term int, toxic int").groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).collect()
         # a misspelling never seen in training counts half of its term
         model.fuzzy = [w / 2 for w in weight]
         for r in seen:
@@ -327,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 x = [scorer.features(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], ["x", "toxic"])
 
-        sample = rows.select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").collect()  # bounded by the sample
+        sample = rows.select("text", "toxic").mapInArrow(trimmed(features), "x array<double>, toxic int").collect()  # bounded by the sample
         model.coef = fit_logistic(np.array([r["x"] for r in sample]), np.array([r["toxic"] for r in sample], float))
         return model
     finally:
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([scorer.score(t or "") for t in part.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -355,4 +355,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for part in slices(batches):
             yield part.filter(pa.array([scorer.score(t or "") < 0.5 for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
