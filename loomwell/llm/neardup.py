@@ -47,11 +47,13 @@ SPREAD = 3.5
 CHUNK_ROWS, CHUNK_BYTES = 1024, 16 << 20
 HEADS = 16
 #: Rows and bytes gathered before buckets are compared together.
-BATCH_ROWS, BATCH_BYTES = 1 << 15, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1 << 14, 8 << 20
+#: Bytes of rows (sets, and ROW_BYTES for the rest of one) of a task that compares; more data makes more tasks, not larger ones.
+TASK_BYTES, ROW_BYTES = 16 << 20, 64
 #: A narrow side of a join is broadcast up to this many rows (counted first).
 BROADCAST_ROWS = 100_000
-#: Columns of the matrix that counts common shingles.
-COLUMNS = 4096
+#: Columns of the matrix that counts common shingles, and values of sets that are numbered at a time.
+COLUMNS, VALUES = 2048, 1 << 18
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -163,13 +165,13 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 
 def _dealt_first(rows: DataFrame) -> DataFrame:
-    """(key, i, j, node, label): buckets of one pass, large ones by chunk, heads in every chunk."""
+    """(key, i, j, node, label, bytes): buckets of one pass, large ones by chunk, heads in every chunk."""
     load = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).filter("n > 1")
     load = cut(load.select("key", "n", F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int").alias("c")))
     rows = rows.join(_hinted(load), "key")
     head = (F.col("c") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < HEADS)
     chunk = F.when(head, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("c")).cast("int")))
-    return rows.select("key", F.lit(0).alias("i"), F.explode(chunk).alias("j"), "node", F.col("node").alias("label"))
+    return rows.select("key", F.lit(0).alias("i"), F.explode(chunk).alias("j"), "node", F.col("node").alias("label"), "bytes")
 
 
 def _dealt_second(rows: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def _dealt_second(rows: DataFrame) -> DataFrame:
     down = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda i: at(i, own_j))
     along = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: at(own_i, j))
     to = F.when(F.col("r").isNull(), F.array(at(F.lit(0), F.lit(0)))).when(F.col("label") == F.col("main"), down).otherwise(F.array_union(down, along))
-    return rows.select("key", F.explode(to).alias("at"), "node", "label").select("key", "at.i", "at.j", "node", "label")
+    return rows.select("key", F.explode(to).alias("at"), "node", "label", "bytes").select("key", "at.i", "at.j", "node", "label", "bytes")
 
 
 class _Classes:
@@ -219,7 +221,8 @@ def _few(prints, label, grams, starts, ends, radius, similarity):
     a, b = bitslice.near_neighbours(prints, starts, ends, radius)
     open_ = label[a] != label[b]
     a, b = a[open_], b[open_]
-    order = np.argsort(bitslice.distances(prints, a, b), kind="stable")
+    group = np.searchsorted(starts, a, side="right")
+    order = np.lexsort((bitslice.distances(prints, a, b), group))
     known: dict[int, set] = {}
 
     def of(k):
@@ -227,37 +230,41 @@ def _few(prints, label, grams, starts, ends, radius, similarity):
             known[k] = set(np.frombuffer(grams[k], np.uint32).tolist())
         return known[k]
 
-    groups = np.searchsorted(starts, np.arange(len(prints)), side="right")
-    classes = {}
-    for i, j in zip(a[order].tolist(), b[order].tolist()):
-        c = classes.get(groups[i])
-        if c is None:
-            c = classes[groups[i]] = _Classes(label)
-        if c.top(i) != c.top(j) and alike(of(i), of(j), similarity) and c.join(i, j):
+    classes, at = _Classes(label), 0
+    for g, i, j in zip(group[order].tolist(), a[order].tolist(), b[order].tolist()):
+        if g != at:  # Python sets take many times the bytes: those of one group are held
+            classes.up, at = {}, g
+            known.clear()
+        if classes.top(i) != classes.top(j) and alike(of(i), of(j), similarity) and classes.join(i, j):
             yield i, j
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values each two sets share, counted block by block of columns."""
-    n = len(sets)
+    """How many values each two sorted sets share, counted range by range of values, block by block of columns."""
+    n, total = len(sets), sum(map(len, sets))
     out = np.zeros((n, n), np.float32)
-    values = np.concatenate(sets) if n else np.empty(0, np.uint32)
-    if not len(values):
+    if not total:
         return out
-    row = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    rank = np.cumsum(often > 1) - 1
-    row, column = row[shared], rank[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else 0) + 1 + COLUMNS, COLUMNS))
-    block = np.zeros((n, COLUMNS), np.float32)
-    for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
-        if e > s:
+    block, both = np.zeros((n, COLUMNS), np.float32), np.empty((n, n), np.float32)
+    steps = -(-total // VALUES)
+    bounds = np.array([(1 << 32) * k // steps for k in range(1, steps)], np.uint32)
+    cuts = np.array([[0, *np.searchsorted(s, bounds), len(s)] for s in sets])
+    for at in range(steps):
+        row = np.repeat(np.arange(n), cuts[:, at + 1] - cuts[:, at])
+        values = np.concatenate([s[b:e] for s, b, e in zip(sets, cuts[:, at], cuts[:, at + 1])])
+        _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        rank = np.cumsum(often > 1) - 1
+        row, column = row[shared], rank[column[shared]]
+        if not len(row):
+            continue
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        edges = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + COLUMNS, COLUMNS))
+        for k, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
             block[:] = 0
             block[row[s:e], column[s:e] - k * COLUMNS] = 1
-            out += block @ block.T
+            out += np.matmul(block, block.T, out=both)
     return out
 
 
@@ -341,11 +348,18 @@ def _compare(radius: int, similarity: float):
     return run
 
 
+def tasks_of(size: int, set_: int) -> list[int]:
+    """Number of tasks for `size` bytes, [] if the `set_` ones of the session, which AQE may coalesce, are enough."""
+    need = -(-size // TASK_BYTES)
+    return [need] if need > set_ else []
+
+
 def _edges(nodes: DataFrame, dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
     heavy = nodes.select("node", "print", "grams")
     rows = cut(dealt)
+    parts = tasks_of(rows.agg(F.sum(F.col("bytes") + ROW_BYTES)).first()[0] or 0, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = F.broadcast(rows).join(heavy, "node") if _small(rows) else rows.join(heavy, "node")
-    rows = rows.select("key", "i", "j", "node", "label", "print", "grams").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    rows = rows.select("key", "i", "j", "node", "label", "print", "grams").repartition(*parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return cut(rows.mapInArrow(trimmed(_compare(radius, similarity)), "a long, b long").distinct())
 
 

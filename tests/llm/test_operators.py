@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import regex
@@ -233,6 +235,32 @@ def test_common_counts():
     assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(9) for j in range(9) if i != j)
 
 
+def test_common_counts_range_by_range(monkeypatch):
+    monkeypatch.setattr(neardup, "VALUES", 500)
+    r = np.random.default_rng(1)
+    pool = np.sort(r.integers(0, 1 << 32, 900, dtype=np.uint64).astype(np.uint32))
+    sets = [np.unique(r.choice(pool, k)) for k in (0, 1, 700, 800, 850)]
+    got = neardup.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5) if i != j)
+
+
+def test_comparing_holds_little_memory():
+    r = np.random.default_rng(2)
+    n, each = 2000, 1000  # pairs of like sets, 8 MB in all
+    grams = [np.unique(r.integers(0, 1 << 32, each, dtype=np.uint64).astype(np.uint32)) for _ in range(n // 2)]
+    prints = r.integers(0, 1 << 62, (n // 2, 2))
+    print_ = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(np.repeat(prints, 2, axis=0).ravel()))
+    columns = [pa.array(np.repeat(np.arange(n // 2), 2)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array(np.arange(n)), print_, pa.array([g.tobytes() for g in grams for _ in range(2)], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "node", "label", "print", "grams"])
+    tracemalloc.start()
+    out = [tuple(x.values()) for b in neardup._compare(neardup.radius_of(0.8), 0.8)([batch]) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(out) == [(k, k + 1) for k in range(0, n, 2)]
+    assert peak < 60 << 20
+    assert neardup.tasks_of(neardup.TASK_BYTES * 300, 200) == [300] and neardup.tasks_of(neardup.TASK_BYTES * 200, 200) == []
+
+
 def test_large_buckets_are_split_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 16)
     r = random.Random(3)
