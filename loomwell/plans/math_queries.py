@@ -13,7 +13,7 @@ R = 9  # decimals compared
 
 
 def events(spark, d) -> DataFrame:
-    return read(spark, d, "events").select("event_id", "user_id", F.round("value", 4).alias("loss"))
+    return read(spark, d, "events").select("event_id", "user_id", vector.nearest(F.col("value"), 4).alias("loss"))
 
 
 EV = "(select event_id, user_id, round(value, 4) as loss from events)"
@@ -40,7 +40,7 @@ query("w7_accumulate", f"select user_id, g, round(avg(loss), 6) as mean from (se
 query(
     "w8_trend",
     f"select event_id, round(case when o is null then 0 else (o - r) / o end, 6) as trend from (select event_id, avg(loss) over (partition by user_id order by event_id rows between 4 preceding and current row) as r, avg(loss) over (partition by user_id order by event_id rows between 9 preceding and 5 preceding) as o from {EV})",
-)(lambda s, d: events(s, d).select("event_id", F.avg("loss").over(by_step().rowsBetween(-4, 0)).alias("r"), F.avg("loss").over(by_step().rowsBetween(-9, -5)).alias("o")).select("event_id", F.round(F.when(F.col("o").isNull(), 0.0).otherwise((F.col("o") - F.col("r")) / F.col("o")), 6).alias("trend")))
+)(lambda s, d: events(s, d).select("event_id", F.avg("loss").over(by_step().rowsBetween(-4, 0)).alias("r"), F.avg("loss").over(by_step().rowsBetween(-9, -5)).alias("o")).select("event_id", F.when(F.col("o").isNull(), 0.0).otherwise(vector.quotient(F.col("o") - F.col("r"), F.col("o"))).alias("q")).select("event_id", vector.nearest(F.col("q"), 6).alias("trend")))
 query("w9_history_100", f"select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from {EV}) where n <= 100")(
     lambda s, d: events(s, d).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n <= 100").select("user_id", "event_id")
 )

@@ -206,3 +206,10 @@ def test_bpe_queries_train_as_the_reference(spark, tmp_path):
     tokens = [bytes(x.token).decode() for x in text_queries.k1(spark, str(tmp_path)).collect()]
     assert "Ġoften" in tokens and "Ġseldom" in tokens and not any("rar" in t for t in tokens)
     assert (bpe.TRAIN_FREQUENCY, bpe.VOCABULARY) == (5, 32_000)
+
+
+def test_nearest_and_quotient(spark):
+    rows = [(0.285, 1.0, 0.0), (-4e-6, 0.0, 0.0), (-0.0, -2.0, 0.0), (1e305, 6.0, 3.0), (float("nan"), None, 0.0), (float("-inf"), float("nan"), 0.0), (None, 1.0, None), (-2.5, 0.0, 2.0)]
+    got = spark.createDataFrame(rows, "x double, a double, b double").select(vector.nearest(F.col("x"), 5), vector.nearest(F.col("x"), 0), vector.quotient(F.col("a"), F.col("b"))).collect()
+    want = [(0.285, 0.0, math.inf), (-0.0, -0.0, math.nan), (-0.0, -0.0, -math.inf), (1e305, 1e305, 2.0), (math.nan, math.nan, None), (-math.inf, -math.inf, math.nan), (None, None, None), (-2.5, -3.0, 0.0)]
+    assert [repr(tuple(r)) for r in got] == [repr(r) for r in want]

@@ -5,6 +5,8 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -70,3 +72,25 @@ def test_rankings_and_histories_are_whole(spark):
     assert max(len(r.context) for r in made["k7_context_512"](spark, SF).collect()) == 512
     n = max(made["w9_history_100"](spark, SF).groupBy("user_id").count().collect(), key=lambda r: r["count"])["count"]
     assert 10 < n <= 100
+
+
+def exactly_sql(spark, folder, name, **tables):
+    """Rows of the query over `tables`, which must equal its SQL's to the bit, the sign of zero included."""
+    con = duckdb.connect()
+    for t, columns in tables.items():
+        pq.write_table(pa.table(columns), f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.execute(plans.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = entry.queries()[name](spark, str(folder)).select(names).collect()
+    bits = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert bits(got) == bits(want.fetchall())
+    return got
+
+
+def test_trend_after_zeros(spark, tmp_path):
+    loss = [0.0] * 5 + [1.0] * 5 + [0.0] * 10 + [0.1, 0.2, 0.3, 0.2, 0.1, 0.3, 0.1, 0.2, 0.2, 0.1000001]
+    n = len(loss)
+    got = exactly_sql(spark, tmp_path, "w8_trend", events={"event_id": list(range(n)), "user_id": [1] * n, "value": loss})
+    trend = {r.event_id: r.trend for r in got}
+    assert trend[9] == -math.inf and math.isnan(trend[19]) and trend[0] == 0.0
