@@ -87,7 +87,7 @@ query("o12_tail", "select event_id from events order by event_id desc limit 50")
 
 
 def logits(spark, d) -> DataFrame:
-    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("x"), F.pmod("label", F.lit(64)).alias("y"))
+    return read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: vector.nearest(x.cast("double"), 5)).alias("x"), F.pmod("label", F.lit(64)).alias("y"))
 
 
 LG = "(select vec_id, list_transform(embedding, lambda e: round(e::double, 5)) as x, label % 64 as y from embeddings)"
@@ -98,7 +98,7 @@ def probs(spark, d) -> DataFrame:
     return logits(spark, d).withColumn("p", vector.softmax(F.col("x")))
 
 
-rounded = lambda c, n=R: F.transform(c, lambda x: F.round(x, n))
+rounded = lambda c, n=R: F.transform(c, lambda x: vector.nearest(x, n))
 query("m1_softmax", f"select vec_id, list_transform(p, lambda v: round(v, {R})) as p from {PROB}")(lambda s, d: probs(s, d).select("vec_id", rounded("p").alias("p")))
 TOPI = "list_transform(list_reverse_sort(list_transform(range(1, 65), lambda i: {'v': x[i], 'i': i - 1})), lambda r: r.i)"
 query("o4_top_k", f"select vec_id, {TOPI}[1:8] as ids from {LG}")(lambda s, d: logits(s, d).select("vec_id", F.transform(vector.top_k(F.col("x"), 8), lambda r: r["i"].cast("long")).alias("ids")))

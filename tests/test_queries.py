@@ -94,3 +94,14 @@ def test_trend_after_zeros(spark, tmp_path):
     got = exactly_sql(spark, tmp_path, "w8_trend", events={"event_id": list(range(n)), "user_id": [1] * n, "value": loss})
     trend = {r.event_id: r.trend for r in got}
     assert trend[9] == -math.inf and math.isnan(trend[19]) and trend[0] == 0.0
+
+
+#: Values that become -0.0: at 5 decimals, and (the last group) at 6 once a group is normalised.
+TINY = [-4e-6, -0.0, 0.0, 4e-6, -1e-5, 0.015625, -0.7, 0.7, 50.0, -50.0, *[0.0625] * 38, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 0.0, 1e-5]
+EMBEDDINGS = {"vec_id": pa.array([0, 1]), "label": pa.array([0, 1], pa.int32()), "embedding": pa.array([TINY, [-x for x in TINY]], pa.list_(pa.float32()))}
+minus = lambda xs: [i for i, x in enumerate(xs) if x == 0 and math.copysign(1, x) < 0]
+
+
+def test_activations_keep_minus_zero(spark, tmp_path):
+    got = exactly_sql(spark, tmp_path, "t21_activations", embeddings=EMBEDDINGS)
+    assert {tuple(minus(r.relu)) for r in got if r.vec_id == 0} == {(0, 1)}
