@@ -105,3 +105,8 @@ minus = lambda xs: [i for i, x in enumerate(xs) if x == 0 and math.copysign(1, x
 def test_activations_keep_minus_zero(spark, tmp_path):
     got = exactly_sql(spark, tmp_path, "t21_activations", embeddings=EMBEDDINGS)
     assert {tuple(minus(r.relu)) for r in got if r.vec_id == 0} == {(0, 1)}
+
+
+def test_gelu_keeps_minus_zero(spark, tmp_path):
+    got = exactly_sql(spark, tmp_path, "t21_gelu", embeddings=EMBEDDINGS)
+    assert {tuple(minus(r.gelu))[:2] for r in got if r.vec_id == 0} == {(0, 1)}
