@@ -123,7 +123,7 @@ query("g19_l2", f"select a.vec_id, round(sqrt(list_sum(list_transform(range(1, 6
 )
 query("t9_logit_clamp", f"select vec_id, list_transform(x, lambda v: greatest(least(v * 100, 65), -65)) as x from {LG}")(lambda s, d: logits(s, d).select("vec_id", vector.logit_clamp(F.transform("x", lambda v: v * 100)).alias("x")))
 query("t6_l2_normalise", f"select vec_id, list_transform(x, lambda v: round(v / greatest(sqrt(list_sum(list_transform(x, lambda u: u * u))), 1e-12), {R})) as x from {LG}")(
-    lambda s, d: logits(s, d).withColumn("n", F.greatest(F.sqrt(vector.total(F.transform("x", lambda v: v * v))), F.lit(1e-12))).select("vec_id", F.transform("x", lambda v: F.round(v / F.col("n"), R)).alias("x"))
+    lambda s, d: logits(s, d).withColumn("n", F.greatest(F.sqrt(vector.total(F.transform("x", lambda v: v * v))), F.lit(1e-12))).select("vec_id", rounded(F.transform("x", lambda v: v / F.col("n"))).alias("x"))
 )
 query("t21_activations", f"select vec_id, list_transform(x, lambda v: greatest(v, 0)) as relu, list_transform(x, lambda v: round(1 / (1 + exp(-v)), {R})) as sigmoid, list_transform(x, lambda v: round(-ln(1 + exp(-v)), {R})) as log_sigmoid from {LG}")(
     lambda s, d: logits(s, d).select("vec_id", F.transform("x", lambda v: F.greatest(v, F.lit(0.0))).alias("relu"), rounded(F.transform("x", lambda v: 1 / (1 + F.exp(-v)))).alias("sigmoid"), rounded(F.transform("x", lambda v: -F.log(1 + F.exp(-v)))).alias("log_sigmoid"))

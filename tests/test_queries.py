@@ -115,3 +115,8 @@ def test_gelu_keeps_minus_zero(spark, tmp_path):
 def test_group_norm_keeps_minus_zero(spark, tmp_path):
     got = exactly_sql(spark, tmp_path, "t6_group_norm", embeddings=EMBEDDINGS)
     assert 62 in {i for r in got if r.vec_id == 0 for i in minus(r.x)}
+
+
+def test_l2_normalise_keeps_minus_zero(spark, tmp_path):
+    got = exactly_sql(spark, tmp_path, "t6_l2_normalise", embeddings=EMBEDDINGS)
+    assert {tuple(minus(r.x)) for r in got if r.vec_id == 0} == {(0, 1)}
