@@ -120,3 +120,8 @@ def test_group_norm_keeps_minus_zero(spark, tmp_path):
 def test_l2_normalise_keeps_minus_zero(spark, tmp_path):
     got = exactly_sql(spark, tmp_path, "t6_l2_normalise", embeddings=EMBEDDINGS)
     assert {tuple(minus(r.x)) for r in got if r.vec_id == 0} == {(0, 1)}
+
+
+def test_logit_clamp_keeps_minus_zero(spark, tmp_path):
+    got = exactly_sql(spark, tmp_path, "t9_logit_clamp", embeddings=EMBEDDINGS)
+    assert {(tuple(minus(r.x)), r.x[8]) for r in got if r.vec_id == 0} == {((0, 1), 65.0)}
