@@ -18,7 +18,8 @@ def events(spark, d) -> DataFrame:
 
 EV = "(select event_id, user_id, round(value, 4) as loss from events)"
 def by_step():
-    return Window.partitionBy("user_id").orderBy("event_id")
+    """Each user's events in order, as SQL sorts: an event without an id comes last."""
+    return Window.partitionBy("user_id").orderBy(F.asc_nulls_last("event_id"))
 
 
 

@@ -96,6 +96,13 @@ def test_trend_after_zeros(spark, tmp_path):
     assert trend[9] == -math.inf and math.isnan(trend[19]) and trend[0] == 0.0
 
 
+@pytest.mark.parametrize("name", ["w8_trend", "w3_token_shift", "w4_lerp", "w7_accumulate", "w10_steepest", "w14_explosion", "g16_running_best"])
+def test_event_without_id_is_last(spark, tmp_path, name):
+    loss = [0.5, 3.0, 8.0, 1.0, 2.0, 9.0, 4.0, 7.0, 6.0, 5.0, 2.5, 90.0]
+    got = exactly_sql(spark, tmp_path, name, events={"event_id": [*range(11), None], "user_id": [1] * 12, "value": loss})
+    assert name != "w8_trend" or {r.event_id: r.trend for r in got}[None] != 0.0
+
+
 #: Values that become -0.0: at 5 decimals, and (the last group) at 6 once a group is normalised.
 TINY = [-4e-6, -0.0, 0.0, 4e-6, -1e-5, 0.015625, -0.7, 0.7, 50.0, -50.0, *[0.0625] * 38, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 10.0, -10.0, 0.0, 1e-5]
 EMBEDDINGS = {"vec_id": pa.array([0, 1]), "label": pa.array([0, 1], pa.int32()), "embedding": pa.array([TINY, [-x for x in TINY]], pa.list_(pa.float32()))}
